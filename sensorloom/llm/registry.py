@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.llm import packing, token_counts
+from sensorloom.llm import decontamination, line_dedup, packing, quality_rules, token_counts
 
-_MODULES = (token_counts, packing)
+_MODULES = (decontamination, line_dedup, token_counts, packing, quality_rules)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
