@@ -30,6 +30,24 @@ def map_batches(df: DataFrame, make: Callable[[], Helper], ddl: str) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], size: int) -> np.ndarray:
+    """The sum over all batches of vectors of a fixed ``size``; each task sends one vector to the shuffle."""
+    schema = T.StructType.fromDDL("at long, value double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        helper, total = make(), np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += helper(batch)
+        at = np.nonzero(total)[0]
+        yield as_batch({"at": at, "value": total[at]}, to_arrow_schema(schema))
+
+    found = df.mapInArrow(run, schema).groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    out = np.zeros(size)
+    out[found["at"].to_numpy()] = found["value"].to_numpy()
+    return out
+
+
 def as_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     """A record batch of ``arrow``'s fields."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in arrow], schema=arrow)
