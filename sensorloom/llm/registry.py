@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorloom.llm import decontamination, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts
+from sensorloom.llm import decontamination, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
 
-_MODULES = (near_dedup, quality_classifier, decontamination, line_dedup, token_counts, packing, quality_rules)
+_MODULES = (decontamination, line_dedup, quality_classifier, toxicity, token_counts, packing, quality_rules, near_dedup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
