@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.batches import map_batches
 from sensorloom.llm.tokens import Vocabulary
+from sensorloom.plans.scratch import written
 
 #: Lengths of one bucket of the two-level suffix sums.
 BUCKET = 256
@@ -36,7 +37,8 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     ``n_longer``: documents over the limit; ``tokens_total``: tokens of all documents;
     ``tokens_kept``: tokens when each document is cut at the limit; ``tokens_cut``: the rest;
     ``share_within``: share of documents that fit whole, the quantile rank of the length.
-    Between two lengths that occur, ``tokens_kept`` is linear, with slope ``n_longer``.
+    Between two lengths that occur, ``tokens_kept`` is linear, with slope ``n_longer``. The histogram is read
+    twice: give a written one.
     """
     # The sums run within buckets of lengths and over the few buckets, so no task orders the whole histogram.
     h = histogram.withColumn("bucket", F.floor(F.col("length") / BUCKET))
@@ -84,7 +86,7 @@ def quantile(limits: DataFrame, q: float) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All context limits over all of ``documents``."""
-    return context_limits(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return context_limits(written(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
 QUERIES = {"op5_token_counts": op5_token_counts}
