@@ -39,7 +39,7 @@ def valid_starts(masked: DataFrame, offsets: list[int], span: int) -> DataFrame:
     rows = indexed(masked)
     steps = rows.groupBy("t_idx").agg(F.count_if(F.col("value").isNull()).alias("nulls"))  # a row for each hour
     last = steps.agg(F.max("t_idx")).scalar()
-    uses = steps.select((F.col("t_idx") - F.explode(F.array(*map(F.lit, offsets)))).alias("start"), "nulls")
+    uses = steps.select("t_idx", "nulls", F.explode(F.array(*map(F.lit, offsets))).alias("k")).withColumn("start", F.col("t_idx") - F.col("k"))
     return uses.where((F.col("start") >= 0) & (F.col("start") + span - 1 <= last)).groupBy("start").agg(F.sum("nulls").alias("nulls"), F.count(F.lit(1)).alias("n")).where((F.col("nulls") == 0) & (F.col("n") == len(offsets))).select("start")
 
 
