@@ -14,12 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Helper = Callable[[pa.RecordBatch], dict]
 
 
-def map_batches(df: DataFrame, make: Callable[[], Helper], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Helper], schema: str | T.StructType) -> DataFrame:
     """Run ``make()`` once in each task and its result on each batch of ``df``.
 
-    The helper returns a dict from the columns of ``ddl`` to lists or arrays of equal length.
+    The helper returns a dict from the columns of ``schema`` to lists or arrays of equal length.
     """
-    schema = T.StructType.fromDDL(ddl)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         helper, arrow = make(), to_arrow_schema(schema)

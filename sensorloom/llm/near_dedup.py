@@ -6,15 +6,16 @@
    the text has it times the mean inverse document frequency of its words. The mean is over words, not over
    shingles: whole shingles of a large group of near copies would be frequent and weigh little, and the few
    words that differ would then outweigh all that is shared.
-3. Improved consistent weighted sampling (Ioffe 2010) draws 48 samples from the weights. Two texts agree in a
-   sample with the probability of their weighted Jaccard similarity; 16 bands of 3 samples bring together a
-   pair of similarity 0.8 with probability 0.99999.
+3. Improved consistent weighted sampling (Ioffe 2010) draws 64 samples from the weights. Two texts agree in a
+   sample with the probability of their weighted Jaccard similarity; 16 bands of 4 samples bring together a
+   pair of similarity 0.8 with probability 0.9998.
 4. Texts of the same words are one node. In each bucket of a band, all nodes are paired with one leader, and
    pairs are verified by exact weighted Jaccard similarity of whole texts; a pair whose sets of shingles
    reach the bound without weights is linked too. Links make components.
-5. Buckets that hold several components are paired once more, with other leaders, and what is left is compared
-   pair by pair between components, in blocks, by the samples; pairs that may be similar are verified. So no
-   bucket is expanded into all its pairs, and none is cut.
+5. Buckets that hold several components are paired once more, with other leaders. What then still shares a bucket
+   with another component is compared in blocks: nodes whose samples agree with a node of another component
+   are kept, and their whole texts are compared exactly, through an index of the block's shingles. A block
+   names one link for each pair of components that has any. So no pairs are emitted, and no bucket is cut.
 
 Result: a row for each row of ``docs`` with ``class_id``, the smallest ``doc_id`` of its class.
 
@@ -33,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sensorloom.llm.batches import id_and_text, lengths_to_offsets, map_batches
+from sensorloom.llm.batches import lengths_to_offsets, map_batches
 from sensorloom.plans.components import connected_components
 from sensorloom.plans.scratch import written
 
@@ -51,10 +53,10 @@ class Settings:
     width: int = 5
     similarity: float = 0.8
     bands: int = 16
-    rows: int = 3
+    rows: int = 4
     df_bits: int = 18
-    block: int = 1024
-    #: Samples that must agree before a pair is verified in step 5; a pair of similarity 0.8 agrees in 38 of 48 on average.
+    block: int = 512
+    #: Share of samples that must agree for a comparison of texts in step 5; a pair of similarity 0.8 agrees in less with probability 0.00005.
     least_agreement: float = 0.6
 
     @property
@@ -197,7 +199,13 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, node binary, samples binary, buckets array<long>, text``; node names the words, null without any."""
+    """``row_id, doc_id, text, carried, node binary, samples binary, buckets array<long>``.
+
+    ``row_id`` is unique, ``carried`` holds the other columns, ``node`` names the words and is null without any.
+    """
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *others).alias("carried"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
     sent = docs.sparkSession.sparkContext.broadcast(idf)  # 4 << df_bits bytes
 
     def make():
@@ -207,7 +215,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> Da
         def sign(batch: pa.RecordBatch) -> dict:
             nodes, samples, buckets = [], [], []
             with np.errstate(over="ignore"):
-                for _, hashes, offsets in word_groups(batch.column(1).to_pylist(), hasher):
+                for _, hashes, offsets in word_groups(batch.column(2).to_pylist(), hasher):
                     for a, b in zip(offsets, offsets[1:], strict=False):
                         if a == b:
                             nodes.append(None), samples.append(None), buckets.append([])
@@ -219,11 +227,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> Da
                         nodes.append(xxhash.xxh3_128_digest(hashes[a:b].tobytes()))
                         samples.append(drawn.tobytes())
                         buckets.append(value.view(np.int64))
-            return {"doc_id": batch.column(0), "node": nodes, "samples": samples, "buckets": buckets, "text": batch.column(1)}
+            return {name: batch.column(k) for k, name in enumerate(batch.schema.names)} | {"node": nodes, "samples": samples, "buckets": buckets}
 
         return sign
 
-    return map_batches(id_and_text(docs), make, "doc_id long, node binary, samples binary, buckets array<long>, text string")
+    return map_batches(rows, make, schema)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -272,34 +280,87 @@ def star_pairs(members: DataFrame, order) -> DataFrame:
 
 
 def split_buckets(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with the bucket's size."""
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-    return members.join(size.select("bucket", "size"), "bucket")
+    """Members of the buckets that hold several components."""
+    split = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
+    return members.join(split.select("bucket"), "bucket", "left_semi")
 
 
-def cross_pairs(members: DataFrame, samples: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components of a bucket that agree in enough samples. Large buckets are compared in blocks."""
-    rows = members.join(samples, "node").withColumn("blocks", F.ceil(F.col("size") / s.block).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+def _in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
+    """``rows`` of buckets dealt to pairs of blocks ``low, high``, so that any two rows of a bucket meet in one group."""
+    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(size, "bucket").withColumn("blocks", F.ceil(F.col("size") / s.block).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "component", "samples", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("size", "blocks", "other")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two blocks of a group, or all rows twice."""
+    if group.low.iloc[0] == group.high.iloc[0]:
+        return np.arange(len(group)), np.arange(len(group))
+    low = (group.block == group.low).to_numpy()
+    return np.nonzero(low)[0], np.nonzero(~low)[0]
+
+
+def near_other_components(members: DataFrame, samples: DataFrame, s: Settings) -> DataFrame:
+    """``bucket, node, component`` of the members that agree in enough samples with one of another component."""
+
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
         drawn = np.frombuffer(b"".join(group.samples), np.uint32).reshape(len(group), -1)
         component = pd.factorize(group.component)[0]
-        side = (group.block == group.high).to_numpy() if group.low.iloc[0] != group.high.iloc[0] else np.ones(len(group), bool)
-        node, found = group.node.to_numpy(), []
-        left = np.nonzero(~side)[0] if not side.all() else np.arange(len(group))
-        right = np.nonzero(side)[0]
+        left, right = _sides(group)
+        near = np.zeros(len(group), bool)
         for k in left:
-            near = (drawn[right] == drawn[k]).sum(1) >= s.least_agreement * drawn.shape[1]
-            found += [(min(node[k], node[j]), max(node[k], node[j])) for j in right[near & (component[right] != component[k])]]
-        return pd.DataFrame(found, columns=["src", "dst"])
+            hit = right[((drawn[right] == drawn[k]).mean(1) >= s.least_agreement) & (component[right] != component[k])]
+            near[hit] = True
+            near[k] |= len(hit) > 0
+        return group.loc[near, ["bucket", "node", "component"]]
 
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "src binary, dst binary").distinct()
+    return _in_blocks(members.join(samples, "node"), s).groupBy("bucket", "low", "high").applyInPandas(mark, "bucket long, node binary, component binary").distinct()
 
 
-def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, class_id, node, text`` for each row; ``node`` names the text's words, null without any."""
+def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
+    """``src, dst``: for each two components with similar texts in a bucket's blocks, a pair of such."""
+    sent = members.sparkSession.sparkContext.broadcast(idf)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        hasher, table = WordHasher(), sent.value
+        with np.errstate(over="ignore"):
+            own = [shingles(hasher.hashes(t.encode("utf-8", "surrogatepass"))[0], table, s) for t in group.text]
+        n = np.array([len(k) for k, _ in own])
+        total = np.array([w.sum(dtype=np.float64) for _, w in own])
+        left, right = _sides(group)
+        # Postings of the right side's shingles, by shingle.
+        text = np.repeat(right, n[right])
+        key, weight = np.concatenate([own[k][0] for k in right]), np.concatenate([own[k][1] for k in right])
+        order = np.argsort(key, kind="stable")
+        text, key, weight = text[order], key[order], weight[order].astype(np.float64)
+        component, node = pd.factorize(group.component)[0], group.node.to_numpy()
+        found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+        for k in left:
+            low, shared = np.zeros(len(group)), np.zeros(len(group))
+            for a in range(0, n[k], 2048):
+                first, last = (np.searchsorted(key, own[k][0][a : a + 2048], side) for side in ("left", "right"))
+                count = last - first
+                at = np.repeat(first - lengths_to_offsets(count)[:-1], count) + np.arange(count.sum())
+                least = np.minimum(np.repeat(own[k][1][a : a + 2048], count), weight[at])
+                low += np.bincount(text[at], least, len(group))
+                shared += np.bincount(text[at], minlength=len(group))
+            likeness = np.maximum(low / (total + total[k] - low), shared / (n + n[k] - shared))
+            for j in right[(likeness[right] >= s.similarity - 1e-9) & (component[right] != component[k])]:
+                found.setdefault((component[k], component[j]), (min(node[k], node[j]), max(node[k], node[j])))
+        return pd.DataFrame(found.values(), columns=["src", "dst"])
+
+    rows = members.join(texts.select("node", "text"), "node")
+    return _in_blocks(rows, s).groupBy("bucket", "low", "high").applyInPandas(compare, "src binary, dst binary").distinct()
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component of each node."""
+    return members.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def labelled_rows(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of ``docs``, written, and ``row_id, doc_id, class_id, component`` of each; a row without words has no component."""
     idf = idf_table(*document_frequencies(docs, s))
     signed = written(signatures(docs, idf, s))
     nodes = signed.where(F.col("node").isNotNull())
@@ -310,25 +371,38 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = written(nodes.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("samples").alias("samples")))
 
     links = written(verified(star_pairs(members.withColumn("component", F.col("node")), F.col("node")), texts, idf, s))
-    for again in ("leaders", "all"):
-        component = connected_components(links)
-        now = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = written(split_buckets(now))
-        pairs = star_pairs(now, F.xxhash64("node", "bucket")) if again == "leaders" else cross_pairs(now, texts.select("node", "samples"), s)
-        links = written(links.union(verified(pairs, texts, idf, s)))
+    now = written(split_buckets(_labelled(members, links)))
+    links = written(links.union(verified(star_pairs(now, F.xxhash64("node", "bucket")), texts, idf, s)))
+    now = split_buckets(_labelled(now.drop("component"), links))
+    now = written(near_other_components(now, texts.select("node", "samples"), s))
+    links = written(links.union(block_links(now, texts, idf, s)))
     component = written(connected_components(links))
 
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "component").select("node", "class_id")
-    own = signed.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "node", "text")
-    return nodes.join(named, "node").select("doc_id", "class_id", "node", "text").union(own)
+    named = named.join(ids, "component").select("node", "class_id", "component")
+    own = signed.where(F.col("node").isNull()).select("row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("component"))
+    return signed, nodes.select("row_id", "doc_id", "node").join(named, "node").select("row_id", "doc_id", "class_id", "component").union(own)
+
+
+def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, class_id`` for each row of ``docs``."""
+    return labelled_rows(docs.select("doc_id", "text"), s)[1].select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row of the smallest ``doc_id``, all rows without words."""
+    signed, rows = labelled_rows(docs, s)
+    first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
+    kept = first.select("first.row_id").union(rows.where(F.col("component").isNull()).select("row_id"))
+    kept = signed.join(kept, "row_id", "left_semi")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each of ``documents``."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}
