@@ -96,7 +96,7 @@ RULES: dict[str, Callable[[TextCounts], bool]] = {
     "many_symbols": lambda c: 10 * c.n_symbols > 2 * c.n_words,
     "shouting": lambda c: 10 * c.n_capitals > 5 * (c.n_capitals + c.n_small),
     "exclaiming": lambda c: 10 * c.n_exclaims > 3 * c.n_words,
-    "repeated_lines": lambda c: 10 * c.n_dup_lines > 3 * c.n_lines,
+    "repeated_lines": lambda c: c.n_dup_lines > 2 and 10 * c.n_dup_lines > 3 * c.n_lines,  # a heading and a footer repeat in good texts too
     "odd_words": lambda c: c.word_chars < 2 * c.n_words or c.word_chars > 20 * c.n_words,
 }
 
@@ -179,7 +179,7 @@ c as (
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not (base_failed or 10 * n_symbols > 2 * n_words or 10 * n_up > 5 * (n_up + n_low) or 10 * n_ex > 3 * n_words
-            or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words) kept
+            or (n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines) or word_chars < 2 * n_words or word_chars > 20 * n_words) kept
 from b
 """
 }
