@@ -1,9 +1,9 @@
 """License notices in documents, found by conditional compression.
 
 1. Words around cues of a notice ("licen", "copyright", ...) form candidate blocks, wherever in a text they are.
-2. Each block is compressed alone and with each license template as zstandard raw dictionary. A template that the
-   block repeats saves most of its own bytes; templates are ranked by the bytes saved.
-3. The best few are confirmed by aligning words: the differences of wording, words of the template that the block
+2. Around its cues, as far as a template is long, a block is compressed alone and with the template as zstandard raw
+   dictionary. A template that the block repeats saves most of its own bytes; templates are ranked by that share.
+3. In that order they are confirmed by aligning words: the differences of wording, words of the template that the block
    lacks and words it puts between, must be few. A confirmed notice is taken out and the rest of the block is
    ranked again, until nothing more is confirmed.
 
@@ -48,18 +48,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 CUES = (b"licen", b"copyright", b"permission is", b"redistribut", b"free software", b"creative commons")
+#: How words that hold a cue begin.
+CUE_WORDS = ("licen", "relicen", "sublicen", "copyright", "permission", "redistribut", "software", "commons")
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``least_saved``: share of its own compressed bytes a template must save; ``ranked``: templates that are aligned;
-    ``most_different``: differing words, as a share of the template's. Blocks reach as far as a template from a cue."""
+    """``least_saved``: share of its own compressed bytes a template must save to be aligned; ``most_different``: differing words, as a share of the template's. Blocks reach as far as a template from a cue."""
 
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     level: int = 16
     least_saved: float = 0.12
-    ranked: int = 8
     most_different: float = 0.12
 
 
@@ -99,11 +99,19 @@ class Scanner:
         return [(c, words[c : min(b, c + longest)]) for a, b in ranges for c in range(a, max(a + 1, b - self.reach), longest - self.reach)]
 
     def saved(self, block: list[str]) -> list[tuple[float, int]]:
-        """The templates that save most bytes, as a share of what each takes alone."""
-        data = normal(block).encode("utf-8", "surrogatepass")
-        alone = len(self.alone.compress(data))
-        ranked = sorted((len(given.compress(data)) - alone, k) for k, given in enumerate(self.given))
-        return [(-change / self.own[k], k) for change, k in ranked[: self.s.ranked] if -change >= self.s.least_saved * self.own[k]]
+        """The templates that save enough around a cue, by the share of their own compressed bytes they save."""
+        cues = [i for i, w in enumerate(block) if w.startswith(CUE_WORDS)]
+        ranked = []
+        for k, (given, words) in enumerate(zip(self.given, self.words, strict=True)):
+            best, done = 0.0, -1
+            for i in cues:
+                if i > done:
+                    a, done = max(0, i - len(words)), i + len(words) // 2
+                    data = normal(block[a : done + len(words)]).encode("utf-8", "surrogatepass")
+                    best = max(best, (len(self.alone.compress(data)) - len(given.compress(data))) / self.own[k])
+            if best >= self.s.least_saved:
+                ranked.append((best, k))
+        return sorted(ranked, key=lambda x: (-x[0], x[1]))
 
     def differences(self, block: list[str], k: int) -> tuple[int, int, int, int]:
         """Words missing from the block and words put between, where it fits template ``k`` best, and that span."""
