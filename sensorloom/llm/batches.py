@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Helper = Callable[[pa.RecordBatch], dict]
 
 
+#: Rows that a helper sees at once; their texts are Python objects meanwhile.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, without empty ones."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Helper], schema: str | T.StructType) -> DataFrame:
-    """Run ``make()`` once in each task and its result on each batch of ``df``.
+    """Run ``make()`` once in each task and its result on slices of the batches of ``df``.
 
     The helper returns a dict from the columns of ``schema`` to lists or arrays of equal length.
     """
@@ -23,9 +34,8 @@ def map_batches(df: DataFrame, make: Callable[[], Helper], schema: str | T.Struc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         helper, arrow = make(), to_arrow_schema(schema)
-        for batch in batches:
-            if batch.num_rows:
-                yield as_batch(helper(batch), arrow)
+        for batch in slices(batches):
+            yield as_batch(helper(batch), arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -36,9 +46,8 @@ def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         helper, total = make(), np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += helper(batch)
+        for batch in slices(batches, 8 * SLICE_ROWS):
+            total += helper(batch)
         at = np.nonzero(total)[0]
         yield as_batch({"at": at, "value": total[at]}, to_arrow_schema(schema))
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A window is ``width`` consecutive words of a benchmark item; a shorter item is one window. Each Arrow batch of
-documents is a shard. Its words become symbols: words of the benchmark have their own, any other word
+A window is ``width`` consecutive words of a benchmark item; a shorter item is one window. Up to ``SHARD_DOCS``
+documents of a partition are a shard. Its words become symbols: words of the benchmark have their own, any other word
 breaks the text, since no window can span it. Stretches between such breaks that are shorter than the
 shortest window can't hold one; all others are indexed. Windows are searched backward through wavelet
 ranks, occurrences are located through sampled suffix positions, and overlapping ones merge into spans.
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.batches import as_batch, lengths_to_offsets
+from sensorloom.llm.batches import as_batch, lengths_to_offsets, slices
 from sensorloom.llm.fm_index import FMIndex
 
 #: Bytes of benchmark text that one pass sends to the executors.
 BLOCK_BYTES = 32 << 20
+#: Documents of a shard, at most.
+SHARD_DOCS = 4096
 #: A byte of a word: digits, letters and all that is not ASCII; other bytes become blanks, A-Z small letters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -114,9 +116,7 @@ def _pass(docs: DataFrame, block: Windows) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, SHARD_DOCS):
             out = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             offsets, hit, found = covered(out["text"].cast(pa.string()).to_pylist(), sent.value)
             spans, items = [], []
@@ -156,7 +156,7 @@ def remove_spans(leaks: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             out = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             texts = out["text"].cast(pa.string()).to_pylist()
             keep = np.ones(len(texts), bool)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.batches import as_batch, id_and_text, map_batches
+from sensorloom.llm.batches import as_batch, id_and_text, map_batches, slices
 
 SALTS = 16
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             out = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             texts, before, dropped = [], [], []
             for text, lost in zip(out["text"].cast(pa.string()).to_pylist(), out.pop("_lost").to_pylist(), strict=True):

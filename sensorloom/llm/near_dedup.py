@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.batches import lengths_to_offsets, map_batches
+from sensorloom.llm.batches import lengths_to_offsets, map_batches, summed
 from sensorloom.plans.components import connected_components
 from sensorloom.plans.scratch import written
 
@@ -118,23 +118,19 @@ def document_frequencies(docs: DataFrame, s: Settings = Settings()) -> tuple[np.
     def make():
         hasher = WordHasher()
 
-        def count(batch: pa.RecordBatch) -> dict:
-            table, n = np.zeros(1 << s.df_bits, np.int64), 0
+        def count(batch: pa.RecordBatch) -> np.ndarray:
+            table = np.zeros((1 << s.df_bits) + 1)
             for _, hashes, offsets in word_groups(batch.column(0).to_pylist(), hasher):
                 slot = (hashes >> np.uint64(64 - s.df_bits)).astype(np.int64)
                 text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                table += np.bincount(np.unique(text << s.df_bits | slot) & ((1 << s.df_bits) - 1), minlength=len(table))
-                n += len(offsets) - 1
-            slot = np.nonzero(table)[0]
-            return {"slot": np.append(slot, -1), "n": np.append(table[slot], n)}
+                table[:-1] += np.bincount(np.unique(text << s.df_bits | slot) & ((1 << s.df_bits) - 1), minlength=1 << s.df_bits)
+                table[-1] += len(offsets) - 1
+            return table
 
         return count
 
-    counts = map_batches(docs.select(F.col("text").cast("string")), make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # the size of the table
-    table = np.zeros(1 << s.df_bits, np.int64)
-    words = counts[counts.slot >= 0]
-    table[words.slot] = words.n
-    return table, int(counts.n[counts.slot < 0].sum())
+    total = summed(docs.select(F.col("text").cast("string")), make, (1 << s.df_bits) + 1)
+    return total[:-1], int(total[-1])
 
 
 def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -301,21 +297,27 @@ def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(low)[0], np.nonzero(~low)[0]
 
 
-def near_other_components(members: DataFrame, samples: DataFrame, s: Settings) -> DataFrame:
-    """``bucket, node, component`` of the members that agree in enough samples with one of another component."""
+def near_other_components(members: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
+    """``bucket, node, component`` of the members that agree in enough samples with one of another component.
+
+    Two nodes that share several buckets are compared in the first of them only. ``signed``: ``node, samples, buckets``.
+    """
 
     def mark(group: pd.DataFrame) -> pd.DataFrame:
-        drawn = np.frombuffer(b"".join(group.samples), np.uint32).reshape(len(group), -1)
-        component = pd.factorize(group.component)[0]
+        drawn, buckets = np.frombuffer(b"".join(group.samples), np.uint32).reshape(len(group), -1), np.stack(group.buckets.to_list())
+        component, bucket = pd.factorize(group.component)[0], group.bucket.iloc[0]
         left, right = _sides(group)
-        near = np.zeros(len(group), bool)
+        least, near = s.least_agreement * drawn.shape[1], np.zeros(len(group), bool)
         for k in left:
-            hit = right[((drawn[right] == drawn[k]).mean(1) >= s.least_agreement) & (component[right] != component[k])]
-            near[hit] = True
-            near[k] |= len(hit) > 0
+            other = right[component[right] != component[k]]
+            if len(other):
+                other = other[buckets[k][(buckets[other] == buckets[k]).argmax(1)] == bucket]
+                hit = other[np.count_nonzero(drawn[other] == drawn[k], axis=1) >= least]
+                near[hit] = True
+                near[k] |= len(hit) > 0
         return group.loc[near, ["bucket", "node", "component"]]
 
-    return _in_blocks(members.join(samples, "node"), s).groupBy("bucket", "low", "high").applyInPandas(mark, "bucket long, node binary, component binary").distinct()
+    return _in_blocks(members.join(signed, "node"), s).groupBy("bucket", "low", "high").applyInPandas(mark, "bucket long, node binary, component binary").distinct()
 
 
 def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
@@ -368,13 +370,13 @@ def labelled_rows(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     shared = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b"))
     members = written(members.join(shared.select("bucket"), "bucket"))
     candidates = members.select("node").distinct()
-    texts = written(nodes.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"), F.first("samples").alias("samples")))
+    texts = written(nodes.join(candidates, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "samples", "buckets")]))
 
     links = written(verified(star_pairs(members.withColumn("component", F.col("node")), F.col("node")), texts, idf, s))
     now = written(split_buckets(_labelled(members, links)))
     links = written(links.union(verified(star_pairs(now, F.xxhash64("node", "bucket")), texts, idf, s)))
     now = split_buckets(_labelled(now.drop("component"), links))
-    now = written(near_other_components(now, texts.select("node", "samples"), s))
+    now = written(near_other_components(now, texts.select("node", "samples", "buckets"), s))
     links = written(links.union(block_links(now, texts, idf, s)))
     component = written(connected_components(links))
 

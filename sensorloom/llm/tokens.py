@@ -23,7 +23,7 @@ class Vocabulary:
     ranks: str = ""
     special: str = "<|endoftext|>"
     special_id: int = 50256
-    kept: int = 300_000
+    kept: int = 150_000
 
     def encoder(self) -> Encoder:
         return Encoder(self)

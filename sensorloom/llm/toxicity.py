@@ -91,7 +91,7 @@ def mine_terms(texts: DataFrame) -> Lexicon:
                 for w in set(words(text)):
                     if len(w) <= 40:
                         if w not in known:
-                            if len(known) > 200_000:
+                            if len(known) > 20_000:
                                 known.clear()
                             known[w] = terms_of(w)
                         own.update(known[w])
@@ -135,7 +135,7 @@ class Matcher:
 
     def __call__(self, text: str | None) -> tuple[list[int], int, int, int]:
         own, known = words(text), self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         found: set[int] = set()
         strong = weak = 0
@@ -269,25 +269,35 @@ class Classifier:
         return [*terms, *(n + 3 * k + v for k, v in enumerate(own)), n + 3 * VOTERS]
 
 
-def train_classifier(texts: list[str | None], lexicon: Lexicon, model: LabelModel, ridge: float = 2e-4, rounds: int = 300) -> Classifier:
-    """Logistic regression on posterior labels, by accelerated gradients over sparse rows."""
-    match, found = Matcher(lexicon), []
+def training_rows(texts: DataFrame, lexicon: Lexicon, model: LabelModel) -> DataFrame:
+    """``features array<int>, target double``: columns and posterior label of each text."""
+
+    def make():
+        match, shape = Matcher(lexicon), Classifier(lexicon, np.zeros(0))
+
+        def run(batch: pa.RecordBatch) -> dict:
+            seen = [match(t) for t in batch.column(0).to_pylist()]
+            cells = np.array([sum(v << 2 * j for j, v in enumerate(votes(*x, lexicon.n_strong))) for x in seen], np.int64)
+            return {"features": [shape.features(*x) for x in seen], "target": model.posterior(unpacked(cells).astype(float))}
+
+        return run
+
+    return map_batches(texts.select("text"), make, "features array<int>, target double")
+
+
+def train_classifier(rows: DataFrame, lexicon: Lexicon, ridge: float = 2e-4, rounds: int = 300) -> Classifier:
+    """Logistic regression on posterior labels of the bounded sample, by accelerated gradients over sparse rows."""
     size = len(lexicon.terms) + 3 * VOTERS + 1
-    shape = Classifier(lexicon, np.zeros(size))
-    target = np.zeros(len(texts))
-    for k, text in enumerate(texts):
-        seen = match(text)
-        found.append(shape.features(*seen))
-        own = votes(*seen, lexicon.n_strong)
-        target[k] = model.posterior(unpacked(np.array([sum(v << 2 * j for j, v in enumerate(own))])).astype(float))[0]
-    if not texts:
-        return shape
+    collected = rows.collect()  # at most 2 * sample rows of term numbers
+    if not collected:
+        return Classifier(lexicon, np.zeros(size))
+    found, target = [r["features"] for r in collected], np.array([r["target"] for r in collected])
     lengths = np.array([len(f) for f in found])
     column, row = np.concatenate(found).astype(np.int64), np.repeat(np.arange(len(found)), lengths)
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     # Toxic and clean texts weigh alike in sum, so that rare ones count.
     toxic = target.mean()
-    balance = np.where(target > 0.5, 0.5 / max(toxic, 1e-3), 0.5 / max(1 - toxic, 1e-3)) / len(texts)
+    balance = np.where(target > 0.5, 0.5 / max(toxic, 1e-3), 0.5 / max(1 - toxic, 1e-3)) / len(found)
     step = 4 / (balance * lengths).sum() / 2
     w = y = np.zeros(size)
     t = 1.0
@@ -308,13 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier
     if not lexicon.terms:
         return None
     model = fit_label_model(written(vote_cells(rows, lexicon)))
-    return train_on(texts, lexicon, model)
-
-
-def train_on(texts: DataFrame, lexicon: Lexicon, model: LabelModel) -> Classifier:
-    """Posterior labels and features are made in tasks; the bounded sample's sparse rows are then fitted."""
-    rows = texts.select("text").toLocalIterator()
-    return train_classifier([r["text"] for r in rows], lexicon, model)
+    return train_classifier(training_rows(texts, lexicon, model), lexicon)
 
 
 def with_scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
@@ -322,7 +326,7 @@ def with_scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from sensorloom.llm.batches import as_batch
+    from sensorloom.llm.batches import as_batch, slices
 
     docs = docs.drop("toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
@@ -333,7 +337,7 @@ def with_scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     def run(batches):
         arrow, model = to_arrow_schema(schema), sent.value
         match = Matcher(model.lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             out = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             g = np.array([model.weights[model.features(*match(t))].sum() for t in out["text"].cast(pa.string()).to_pylist()])
             yield as_batch(out | {"toxicity": 1 / (1 + np.exp(-np.clip(g, -500, 500)))}, arrow)
