@@ -35,12 +35,13 @@ def p2_top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of the traffic sensors in which each has neighbours: sensors k steps apart in the order of ids are k apart."""
+    """A graph of the traffic sensors in which each has ten neighbours or more, if there are: sensors k steps apart in the order of ids are k apart."""
     s = I.traffic_sensors(spark, sf_dir)
     n = s.count()
-    near = s.select(F.col("sensor_id").alias("from"), "idx", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("k"))
+    near = s.select(F.col("sensor_id").alias("from"), "idx", F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("k"))
     other = s.select(F.col("sensor_id").alias("to"), F.col("idx").alias("at"))
     pairs = near.join(other, F.pmod(F.col("idx") + F.col("k"), F.lit(n)) == F.col("at")).select("from", "to", F.abs("k").cast("double").alias("distance"))
+    pairs = pairs.groupBy("from", "to").agg(F.min("distance").alias("distance"))  # few sensors are met both ways round
     return written(gaussian_adjacency(pairs, s, 0.01))
 
 
@@ -53,12 +54,12 @@ def p3_neighbour_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def p4_knn_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.knn_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir), 4, 5)
+    return K.knn_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir))
 
 
 @query(None)
 def p5_mice_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.mice_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir), 4, trees=3, rounds=3)
+    return K.mice_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir))
 
 
 @query(f"""with {_AVERAGE}, s as (
@@ -77,17 +78,17 @@ def p6_temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def p6_temporal_mice_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.temporal_mice_fill(I.grid(spark, sf_dir), trees=3, rounds=3)
+    return K.temporal_mice_fill(I.grid(spark, sf_dir))
 
 
 @query(None)
 def p7_trmf_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trmf_fill(I.grid(spark, sf_dir), rank=4, rounds=6)
+    return trmf_fill(I.grid(spark, sf_dir))
 
 
 @query(None)
 def p8_bgcp_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bgcp_fill(I.grid(spark, sf_dir), rank=3, burn=3, gibbs=3)
+    return bgcp_fill(I.grid(spark, sf_dir))
 
 
 @query(f"""with {I.GRID}, s as (select *, avg(value) over (partition by sensor_id) mean, stddev_pop(value) over (partition by sensor_id) sd from grid)

@@ -8,6 +8,7 @@ from sensorloom.operators import model_fills as K
 from sensorloom.operators import neighbours as N
 from sensorloom.operators.factorize import bgcp_fill, trmf_fill
 from sensorloom.operators.fills import fallback, hour_mean
+from sensorloom.queries import models as Q
 
 
 def plain_nearest(x, k):
@@ -103,3 +104,26 @@ def test_segments_and_back(spark):
     assert all(abs(back["a", k] - k) < 1e-9 and back["b", k] == 7 for k in range(48))
     with pytest.raises(ValueError):
         N.standardized_segments(frame(spark, a=[1, 2]))
+
+
+def test_trees_grow_fully():
+    """2,000 distinct values need more than the 1,024 leaves of depth 10."""
+    rng = np.random.default_rng(5)
+    x, y = rng.random((2000, 3)), rng.permutation(2000).astype(float)
+    assert np.allclose(K.RandomTrees(2, None, rng).fit(x, y).predict(x), y)
+    flat = K.RandomTrees(3, 1, rng).fit(x, y).predict(x)
+    assert len(np.unique(flat)) <= 2**3
+    assert np.allclose(K.RandomTrees(2, None, rng).fit(np.ones((4, 2)), np.array([1.0, 2, 3, 6])).predict(np.zeros((2, 2))), 3)
+
+
+@pytest.mark.parametrize("name, fill", [("p4_knn_fill", "knn_fill"), ("p5_mice_fill", "mice_fill"), ("p6_temporal_mice_fill", "temporal_mice_fill"), ("p7_trmf_fill", "trmf_fill"), ("p8_bgcp_fill", "bgcp_fill")])
+def test_registered_fills_run_at_the_operators_defaults(spark, monkeypatch, name, fill):
+    calls = []
+    monkeypatch.setattr(Q if hasattr(Q, fill) else K, fill, lambda *a, **b: calls.append((len(a), b)))
+    getattr(Q, name)(spark, "/root/testdata/sf0.001")
+    assert calls == [(2 if fill in ("knn_fill", "mice_fill") else 1, {})]
+
+
+def test_graph_of_the_fills_has_ten_neighbours(spark):
+    found = Q._dense_adjacency(spark, "/root/testdata/sf0.01").where("src <> dst").groupBy("src").count().collect()
+    assert len(found) == 20 and min(r["count"] for r in found) >= 10
