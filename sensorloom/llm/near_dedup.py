@@ -19,7 +19,7 @@
 
 Result: a row for each row of ``docs`` with ``class_id``, the smallest ``doc_id`` of its class.
 
-Texts without words (null, empty) are each a class of their own. A row with a null ``doc_id`` belongs to the class
+Texts without words are one node if they are equal, whole, and similar to no other; a null text equals null only. A row with a null ``doc_id`` belongs to the class
 of its text; ``class_id`` is null if no member has an id. Repeated rows are copies. An empty table gives an
 empty result. Other columns aren't read.
 """
@@ -194,10 +194,16 @@ class Sampler:
         return (mixed(drawn ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(_BASE))) >> np.uint64(32)).astype(np.uint32)
 
 
+def wordless_node(text: str | None) -> bytes:
+    """A name of a whole text, of another length than those of words."""
+    return b"null" if text is None else b"text" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame:
     """``row_id, doc_id, text, carried, node binary, samples binary, buckets array<long>``.
 
-    ``row_id`` is unique, ``carried`` holds the other columns, ``node`` names the words and is null without any.
+    ``row_id`` is unique, ``carried`` holds the other columns, ``node`` names the words, or without any the whole text,
+    which then is in no bucket.
     """
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *others).alias("carried"))
@@ -211,10 +217,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> Da
         def sign(batch: pa.RecordBatch) -> dict:
             nodes, samples, buckets = [], [], []
             with np.errstate(over="ignore"):
-                for _, hashes, offsets in word_groups(batch.column(2).to_pylist(), hasher):
-                    for a, b in zip(offsets, offsets[1:], strict=False):
+                texts = batch.column(2).to_pylist()
+                for first, hashes, offsets in word_groups(texts, hasher):
+                    for text, a, b in zip(texts[first:], offsets, offsets[1:], strict=False):
                         if a == b:
-                            nodes.append(None), samples.append(None), buckets.append([])
+                            nodes.append(wordless_node(text)), samples.append(None), buckets.append([])
                             continue
                         drawn = sampler.sample(*shingles(hashes[a:b], table, s))
                         value = band.copy()
@@ -362,15 +369,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """The signed rows of ``docs``, written, and ``row_id, doc_id, class_id, component`` of each; a row without words has no component."""
+    """The signed rows of ``docs``, written, and ``row_id, doc_id, class_id, component`` of each."""
     idf = idf_table(*document_frequencies(docs, s))
     signed = written(signatures(docs, idf, s))
-    nodes = signed.where(F.col("node").isNotNull())
-    members = nodes.dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket"))
+    members = signed.dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b"))
     members = written(members.join(shared.select("bucket"), "bucket"))
     candidates = members.select("node").distinct()
-    texts = written(nodes.join(candidates, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "samples", "buckets")]))
+    texts = written(signed.join(candidates, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "samples", "buckets")]))
 
     links = written(verified(star_pairs(members.withColumn("component", F.col("node")), F.col("node")), texts, idf, s))
     now = written(split_buckets(_labelled(members, links)))
@@ -380,12 +386,11 @@ def labelled_rows(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     links = written(links.union(block_links(now, texts, idf, s)))
     component = written(connected_components(links))
 
-    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(least.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
     named = named.join(ids, "component").select("node", "class_id", "component")
-    own = signed.where(F.col("node").isNull()).select("row_id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("component"))
-    return signed, nodes.select("row_id", "doc_id", "node").join(named, "node").select("row_id", "doc_id", "class_id", "component").union(own)
+    return signed, signed.select("row_id", "doc_id", "node").join(named, "node").select("row_id", "doc_id", "class_id", "component")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -394,11 +399,10 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the row of the smallest ``doc_id``, all rows without words."""
+    """The rows of ``docs`` without near-duplicates: of each class the row of the smallest ``doc_id``."""
     signed, rows = labelled_rows(docs, s)
-    first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
-    kept = first.select("first.row_id").union(rows.where(F.col("component").isNull()).select("row_id"))
-    kept = signed.join(kept, "row_id", "left_semi")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
+    kept = signed.join(first.select("first.row_id"), "row_id", "left_semi")
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns])
 
 

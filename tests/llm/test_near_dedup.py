@@ -94,3 +94,10 @@ def test_null_ids_and_empty_table(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in N.classes(docs).collect()) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
     assert sorted(str(r["doc_id"]) for r in N.keep_one(docs).collect()) == ["3", "None"]
     assert N.classes(docs.limit(0)).count() == 0
+
+
+def test_equal_texts_without_words_are_one_class(spark):
+    texts = ["", "...", "", None, "...", "a word", "", "!?", None]
+    docs = documents(spark, texts).repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(docs).collect()} == {k: texts.index(t) for k, t in enumerate(texts)}
+    assert sorted(r["doc_id"] for r in N.keep_one(docs).collect()) == [0, 1, 3, 5, 7]
