@@ -106,7 +106,7 @@ def g11_largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def g12_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the tables made for the traffic sensors."""
-    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.turned_edges(spark, sf_dir), I.LIMIT)
+    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.turned_edges(spark, sf_dir), I.WHOLE_LIMIT)
     counts = [t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("part"), "n_rows") for name, t in parts.items()]
     out = counts[0]
     for c in counts[1:]:
@@ -154,7 +154,7 @@ def g13_symmetric_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def g14_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = I.sensors(spark, sf_dir)
-    return _coo(M.chebyshev_rescaled(M.shift_operator(I.adjacency(spark, sf_dir), s, "sym_norm_lap"), s))
+    return _coo(M.chebyshev_rescaled(M.shift_operator(I.adjacency(spark, sf_dir, I.WHOLE_LIMIT), s, "sym_norm_lap"), s))
 
 
 for _reverse in (False, True):
@@ -182,7 +182,7 @@ def g16_scaled_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def g16_largest_eigenvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coo(M.scaled_laplacian(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), None))
+    return _coo(M.scaled_laplacian(I.adjacency(spark, sf_dir, I.WHOLE_LIMIT), I.sensors(spark, sf_dir), None))
 
 
 @query(f"""with {I.ADJACENCY}, und as (select src_idx a, dst_idx b from adjacency union select dst_idx, src_idx from adjacency),

@@ -11,7 +11,8 @@ from sensorloom.operators.outliers import absolute_limit, chain, zeros_beside_ga
 from sensorloom.operators.roadnet import apply_turns, bounded_distances, gaussian_adjacency, link_edges
 from sensorloom.plans.scratch import written
 
-LIMIT = 1500.0
+#: Path limit of the queries whose SQL finds the paths by recursion, and that of the reference's pipeline.
+LIMIT, WHOLE_LIMIT = 1500.0, 9000.0
 HOLIDAYS = ("2024-01-01", "2024-01-09", "2024-01-10")
 
 
@@ -159,8 +160,8 @@ def traffic_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select((F.row_number().over(Window.orderBy("sensor_id")) - 1).alias("idx"), "sensor_id")
 
 
-def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(bounded_distances(written(turned_edges(spark, sf_dir)), sensors(spark, sf_dir), LIMIT, links(spark, sf_dir)))
+def distances(spark: SparkSession, sf_dir: str, limit: float = LIMIT) -> DataFrame:
+    return written(bounded_distances(written(turned_edges(spark, sf_dir)), sensors(spark, sf_dir), limit, links(spark, sf_dir)))
 
 
 DISTANCES = "recursive " + TURNED + """,
@@ -180,8 +181,8 @@ adjacency as (
   union all select sensor_id, sensor_id, idx, idx, 1.0 from sensors)"""
 
 
-def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(gaussian_adjacency(distances(spark, sf_dir), sensors(spark, sf_dir)))
+def adjacency(spark: SparkSession, sf_dir: str, limit: float = LIMIT) -> DataFrame:
+    return written(gaussian_adjacency(distances(spark, sf_dir, limit), sensors(spark, sf_dir)))
 
 
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
