@@ -66,8 +66,8 @@ def normalized_laplacian(adjacency: DataFrame, sensors: DataFrame) -> DataFrame:
     return added(identity(sensors), scaled(transposed(_by_degree(adjacency.select(*_COO), F.pow("_sum", F.lit(-0.5)), True, True)), -1.0))
 
 
-def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 100, tolerance: float = 1e-9) -> float:
-    """The largest singular value, by power iteration on the matrix and its transpose."""
+def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 10_000, tolerance: float = 1e-9) -> float:
+    """The largest singular value, by power iteration on the matrix and its transpose; raises if it hasn't settled after ``rounds``."""
     matrix = written(matrix.select(*_COO))
     # A start that no symmetry of the graph makes orthogonal to the leading vector.
     v = sensors.select("idx", (1 + F.pmod(F.xxhash64("idx"), F.lit(1000)) / 1000).alias("x"))
@@ -84,7 +84,7 @@ def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 100, tole
         if k and abs(new - value) <= tolerance * new:
             return new
         value = new
-    return value
+    raise RuntimeError(f"the spectral norm still changes after {rounds} rounds")
 
 
 def chebyshev_rescaled(operator: DataFrame, sensors: DataFrame) -> DataFrame:

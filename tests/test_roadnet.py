@@ -133,3 +133,13 @@ def test_queries_without_sql_use_the_references_limit(spark, monkeypatch):
     for query in (Q.g12_graph_tables, Q.g14_chebyshev, Q.g16_largest_eigenvalue):
         query(spark, sf)
     assert limits == [9000] * 3
+
+
+def test_spectral_norm_that_has_not_settled_raises(spark):
+    from sensorloom.operators.graphops import spectral_norm
+
+    m = spark.createDataFrame([(0, 0, 3.0), (1, 1, 2.0)], "src_idx int, dst_idx int, weight double")
+    s = spark.createDataFrame([("a", 0), ("b", 1)], "sensor_id string, idx int")
+    with pytest.raises(RuntimeError):
+        spectral_norm(m, s, rounds=2)
+    assert abs(spectral_norm(m, s) - 3) < 1e-6
