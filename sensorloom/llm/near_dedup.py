@@ -1,7 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Words (runs of letters, digits and non-ASCII, A-Z in lower case) are hashed; their document frequencies over
-   all documents are summed in a table of fixed size, by hash.
+1. Words (runs of letters, digits and non-ASCII, A-Z in lower case) are hashed, and the documents that hold each are
+   counted. A word's inverse document frequency is ``ln(1 + 1 / max(share of documents, rare))``: below a share of ``rare``
+   all words weigh alike. So only the words over it need a table, which holds at most (mean number of distinct words of
+   a document) / ``rare`` of them, whatever the corpus.
 2. A text's shingles are its runs of five words (a text of fewer is one shingle). A shingle weighs how often
    the text has it times the mean inverse document frequency of its words. The mean is over words, not over
    shingles: whole shingles of a large group of near copies would be frequent and weigh little, and the few
@@ -9,149 +11,145 @@
 3. Improved consistent weighted sampling (Ioffe 2010) draws 64 samples from the weights. Two texts agree in a
    sample with the probability of their weighted Jaccard similarity; 16 bands of 4 samples bring together a
    pair of similarity 0.8 with probability 0.9998.
-4. Texts of the same words are one node. In each bucket of a band, all nodes are paired with one leader, and
-   pairs are verified by exact weighted Jaccard similarity of whole texts; a pair whose sets of shingles
-   reach the bound without weights is linked too. Links make components.
-5. Buckets that hold several components are paired once more, with other leaders. What then still shares a bucket
-   with another component is compared in blocks: nodes whose samples agree with a node of another component
-   are kept, and their whole texts are compared exactly, through an index of the block's shingles. A block
-   names one link for each pair of components that has any. So no pairs are emitted, and no bucket is cut.
+4. Texts of the same words are one node. In each bucket of a band, every node is compared with one leader by exact weighted
+   Jaccard similarity of whole texts. Links make components. That settles groups of close copies at a cost in
+   proportion to their size, and all buckets of two.
+5. What buckets still hold several components is compared whole, group by group, in one task each. Only texts that share
+   one of their rarest shingles can be similar (the rest of a text weighs too little), so an index of those finds the pairs
+   to compare; none that reaches the similarity is missed. A group names links of components only, no pairs.
+6. A group too large for one task is split by further samples, four at a time, in 16 ways; a pair of similarity 0.8 parts
+   in all of them with probability 0.0001. After ``splits`` such rounds, texts agree in so many samples that few unlinked ones are
+   left; groups still too large are dealt to pairs of blocks, where rows, only these, grow with the square of their number.
 
 Result: a row for each row of ``docs`` with ``class_id``, the smallest ``doc_id`` of its class.
 
-Texts without words are one node if they are equal, whole, and similar to no other; a null text equals null only. A row with a null ``doc_id`` belongs to the class
-of its text; ``class_id`` is null if no member has an id. Repeated rows are copies. An empty table gives an
-empty result. Other columns aren't read.
+Texts without words are one node if they are equal, whole, and similar to no other; a null text equals null only. A row
+with a null ``doc_id`` belongs to the class of its text; ``class_id`` is null if no member has an id. Repeated rows, and rows that
+share a ``doc_id``, each get the class of their text. Very long texts are shingled whole. Of equally good leaders or rows to keep
+the one with the smaller id goes first. An empty table gives an empty result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sensorloom.llm.batches import lengths_to_offsets, map_batches, summed
+from sensorloom.llm.batches import as_batch, lengths_to_offsets, map_batches, slices
+from sensorloom.llm.words import BASE, WordHasher, mixed, word_groups
 from sensorloom.plans.components import connected_components
 from sensorloom.plans.scratch import written
 
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
-#: Bytes of text that are hashed together.
-_CHUNK = 1 << 20
-
-
 @dataclass(frozen=True)
 class Settings:
-    """``df_bits``: the table of document frequencies has 2 ** df_bits counts, whatever the corpus."""
+    """``rare``: share of documents below which all words weigh alike. ``group_rows``, ``group_bytes``: what one task compares at once."""
 
     width: int = 5
     similarity: float = 0.8
     bands: int = 16
     rows: int = 4
-    df_bits: int = 18
-    block: int = 512
-    #: Share of samples that must agree for a comparison of texts in step 5; a pair of similarity 0.8 agrees in less with probability 0.00005.
-    least_agreement: float = 0.6
+    rare: float = 0.01
+    leader_rows: int = 1024
+    group_rows: int = 4096
+    group_bytes: int = 8 << 20
+    splits: int = 2
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHasher:
-    """64-bit hashes of the words of several texts at once, as differences of running sums of byte powers."""
-
-    def __init__(self) -> None:
-        self.size = 0
-
-    def _grow(self, size: int) -> None:
-        if size > self.size:
-            self.size = max(size, 2 * self.size, _CHUNK)
+@dataclass(frozen=True)
+class Weights:
+    """Inverse document frequencies: of the words with a hash in ``words`` (sorted), and of all others."""
+
+    words: np.ndarray
+    idf: np.ndarray
+    other: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(hashes), self.other, np.float32)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.idf[at], np.float32(self.other))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: how many documents hold each word, by its hash; the null word is in every document."""
+    schema = T.StructType.fromDDL("word long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, hasher, n_docs = to_arrow_schema(schema), WordHasher(), 0
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal words, counts
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *fresh]), return_counts=True)
+            words, where = np.unique(np.concatenate([words, found]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), len(words)).astype(np.int64)
+            fresh.clear()
+
+        for batch in slices(batches):
+            n_docs += batch.num_rows
             with np.errstate(over="ignore"):
-                step = np.full(self.size, _BASE, np.uint64)
-                back = np.full(self.size, pow(_BASE, -1, 1 << 64), np.uint64)
-                step[0] = back[0] = 1
-                self.up, self.down = np.cumprod(step), np.cumprod(back)
-
-    def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and end of each word of ``data``."""
-        self._grow(len(data))
-        folded = np.frombuffer(data.translate(_FOLD), np.uint8)
-        edges = np.diff(np.concatenate([[0], (folded != 32).view(np.int8), [0]]).astype(np.int8))
-        start, end = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(folded * self.up[: len(data)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * self.down[start] + np.uint64(1)), end
-
-
-def word_groups(texts: list[str | None], hasher: WordHasher):
-    """Yields, for chunks of texts: the first text's index, hashes of their words, and offsets of each text's words."""
-    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    first = 0
-    while first < len(data):
-        last, size = first, 0
-        while last < len(data) and (last == first or size + len(data[last]) < _CHUNK):
-            size += len(data[last]) + 1
-            last += 1
-        ends = np.cumsum([len(d) + 1 for d in data[first:last]])
-        hashes, at = hasher.hashes(b"\n".join(data[first:last]) + b"\n")
-        yield first, hashes, np.concatenate([[0], np.searchsorted(at, ends, side="left")])
-        first = last
-
-
-def document_frequencies(docs: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, int]:
-    """Document counts by word hash over all documents, in a table of fixed size, and the number of documents."""
-
-    def make():
-        hasher = WordHasher()
-
-        def count(batch: pa.RecordBatch) -> np.ndarray:
-            table = np.zeros((1 << s.df_bits) + 1)
-            for _, hashes, offsets in word_groups(batch.column(0).to_pylist(), hasher):
-                slot = (hashes >> np.uint64(64 - s.df_bits)).astype(np.int64)
-                text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                table[:-1] += np.bincount(np.unique(text << s.df_bits | slot) & ((1 << s.df_bits) - 1), minlength=1 << s.df_bits)
-                table[-1] += len(offsets) - 1
-            return table
-
-        return count
-
-    total = summed(docs.select(F.col("text").cast("string")), make, (1 << s.df_bits) + 1)
-    return total[:-1], int(total[-1])
-
-
-def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log1p(n_docs / np.maximum(df, 1)).astype(np.float32)
-
-
-def shingles(hashes: np.ndarray, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of one text and their TF-IDF weights, in order of the hash."""
+                for _, hashes, offsets in word_groups(batch.column(0).to_pylist(), hasher):
+                    own = hashes ^ mixed(np.repeat(np.arange(1, len(offsets), dtype=np.uint64), np.diff(offsets)))
+                    fresh.append(hashes[np.unique(own, return_index=True)[1]])
+            if sum(map(len, fresh)) > 1 << 20:
+                merge()
+                if len(words) > 1 << 20:  # what a task holds is bounded; the sums meet in the shuffle
+                    yield as_batch({"word": words.view(np.int64), "n": counts}, arrow)
+                    words, counts = words[:0], counts[:0]
+        merge()
+        yield as_batch({"word": words.view(np.int64), "n": counts}, arrow)
+        yield as_batch({"word": [None], "n": [n_docs]}, arrow)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_weights(docs: DataFrame, s: Settings = Settings()) -> Weights:
+    """Weights by the document counts of all words of all ``docs``."""
+    counts = written(word_counts(docs))
+    n_docs = int((counts.where(F.col("word").isNull()).first() or {"n": 0})["n"] or 0)
+    found = counts.where(F.col("word").isNotNull() & (F.col("n") >= s.rare * n_docs)).toPandas()  # see step 1 for the bound
+    words, n = found["word"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)
+    order = np.argsort(words)
+    return Weights(words[order], np.log1p(n_docs / n[order]).astype(np.float32), float(np.log1p(1 / s.rare)))
+
+
+def shingles(hashes: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of one text, from its words' hashes and weights, and their TF-IDF weights, in order of the hash."""
     n, width = len(hashes), min(s.width, len(hashes))
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    weight = idf[(hashes >> np.uint64(64 - s.df_bits)).astype(np.int64)]
     joined, mean = np.zeros(n - width + 1, np.uint64), np.zeros(n - width + 1, np.float32)
     for k in range(width):
-        joined += hashes[k : k + len(joined)] * np.uint64(pow(_BASE, 2 * k + 3, 1 << 64))
-        mean += weight[k : k + len(joined)]
+        joined += hashes[k : k + len(joined)] * np.uint64(pow(BASE, 2 * k + 3, 1 << 64))
+        mean += weights[k : k + len(joined)]
+    joined = mixed(joined)
     order = np.argsort(joined)
     joined = joined[order]
     new = np.nonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))[0]
     times = np.diff(np.append(new, len(joined)))
-    return mixed(joined[new]), mean[order[new]] / np.float32(width) * times.astype(np.float32)
+    return joined[new], mean[order[new]] / np.float32(width) * times.astype(np.float32)
+
+
+def shingled(texts: list[str | None], weights: Weights, hasher: WordHasher, s: Settings) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """The words' hashes and the shingles of each text."""
+    with np.errstate(over="ignore"):
+        for _, hashes, offsets in word_groups(texts, hasher):
+            weight = weights.of(hashes)
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                yield hashes[a:b], shingles(hashes[a:b], weight[a:b], s)
 
 
 def gamma_quantiles(n: int) -> np.ndarray:
@@ -163,234 +161,349 @@ def gamma_quantiles(n: int) -> np.ndarray:
     return x
 
 
+@functools.cache
+def _gamma_cells() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles and their logarithms; 1024 x 1024 cells of neighbouring pairs (r, c), by the least ``ln c - r`` in them, and that."""
+    q = gamma_quantiles(1 << 16)
+    bound = (np.log(q[::64])[None, :] - q[63::64][:, None]).ravel()
+    order = np.argsort(bound, kind="stable")
+    return q.astype(np.float32), np.log(q).astype(np.float32), order.astype(np.uint32), bound[order]
+
+
 class Sampler:
-    """Improved consistent weighted sampling."""
+    """Improved consistent weighted sampling.
+
+    A sample of a text is its shingle of least ``a = c / (y * exp(r))``, with r and c of Gamma(2, 1) and y at most the shingle's
+    weight. So ``a`` is at least ``c * exp(-r) / weight``, and as the least ``a`` of a text seldom exceeds ``REACH`` / (sum of weights),
+    few shingles can win. One cheap hash names the cell of (r, c) and tells which may; only those are drawn in full. Where
+    none stays below the bound, all are. The result is the same as without the bound.
+    """
+
+    REACH = 5.0
+    #: Shingles that are looked at together.
+    AT_ONCE = 2048
 
     def __init__(self, samples: int) -> None:
-        q = gamma_quantiles(1 << 16)
-        self.r, self.inverse_r, self.ln_c = q.astype(np.float32), (1 / q).astype(np.float32), np.log(q).astype(np.float32)
-        self.seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-
-    def sample(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A 32-bit name of the shingle and level that each sample draws."""
-        ln_w, best, level, drawn = np.log(weights)[None, :], None, None, None
-        for a in range(0, len(keys), 2048):
-            z = keys[None, a : a + 2048] * self.seeds[:, None]
-            z ^= z >> np.uint64(29)
-            z *= np.uint64(0xBF58476D1CE4E5B9)
-            r_at = (z >> np.uint64(48)).astype(np.int32)
-            c_at = (z >> np.uint64(32)).astype(np.int32) & 0xFFFF
-            beta = (z & np.uint64(0xFFFFFFFF)).astype(np.float32) * np.float32(2.0**-32)
-            t = np.floor(ln_w[:, a : a + 2048] * self.inverse_r.take(r_at) + beta)
-            ln_a = self.ln_c.take(c_at) - self.r.take(r_at) * (t - beta + 1)
-            k = ln_a.argmin(1)
-            rows = np.arange(len(k))
-            found = ln_a[rows, k], t[rows, k], keys[a + k]
-            if best is None:
-                best, level, drawn = found
-            else:
-                less = found[0] < best
-                best, level, drawn = (np.where(less, x, y) for x, y in zip(found, (best, level, drawn), strict=True))
-        return (mixed(drawn ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(_BASE))) >> np.uint64(32)).astype(np.uint32)
+        self.samples = samples
+        self.q, self.ln_q, self.cell, bound = _gamma_cells()
+        steps = 1 << 14
+        self.low, self.per = bound[0], np.float32((steps - 1) / (bound[-1] - bound[0]))
+        upto = np.searchsorted(bound, self.low + (np.arange(steps) + 1) / self.per, side="right")
+        self.below = np.minimum(upto.astype(np.uint64) << np.uint64(12), np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.seeds = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+        self.short_seeds = (self.seeds >> np.uint64(20)).astype(np.uint32) | np.uint32(1)
+
+    @staticmethod
+    def _cheap(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        z = keys * seeds
+        z ^= z >> np.uint32(15)
+        z *= np.uint32(0x85EBCA6B)
+        return z
+
+    def _drawn(self, sample: np.ndarray, keys: np.ndarray, short: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ln a`` and level of each shingle in its sample."""
+        cell = self.cell[self._cheap(short, self.short_seeds[sample]) >> np.uint32(12)]
+        z = keys * self.seeds[sample]
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        high = (z >> np.uint64(32)).astype(np.uint32)
+        beta = (z & np.uint64(0xFFFFFFFF)).astype(np.float32) * np.float32(2.0**-32)
+        r = self.q[(cell >> np.uint32(10) << np.uint32(6)) | high >> np.uint32(26)]
+        ln_c = self.ln_q[((cell & np.uint32(1023)) << np.uint32(6)) | high >> np.uint32(20) & np.uint32(63)]
+        level = np.floor(ln_w / r + beta)
+        return ln_c - r * (level - beta + 1), level
+
+    @staticmethod
+    def _names(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+        return (mixed(keys ^ level.astype(np.int64).astype(np.uint64) * np.uint64(BASE)) >> np.uint64(32)).astype(np.uint32)
+
+    def sample(self, own: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """32-bit names of the shingle and level that each sample draws, a row for each text; no text without shingles."""
+        out = np.zeros((len(own), self.samples), np.uint32)
+        if not own:
+            return out
+        offsets = lengths_to_offsets(np.array([len(k) for k, _ in own]))
+        keys, weights = np.concatenate([k for k, _ in own]), np.concatenate([w for _, w in own])
+        text, ln_w = np.repeat(np.arange(len(own)), np.diff(offsets)), np.log(weights)
+        short = (keys >> np.uint64(32)).astype(np.uint32)
+        limit = np.log(self.REACH / np.add.reduceat(weights.astype(np.float64), offsets[:-1])).astype(np.float32)
+        below = self.below[np.clip((limit[text] + ln_w - self.low) * self.per, 0, len(self.below) - 1).astype(np.int32)]
+        first = 0
+        while first < len(own):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + self.AT_ONCE, side="right")) - 1)
+            samples, places = [], []
+            for a in range(offsets[first], offsets[last], self.AT_ONCE):
+                b = min(offsets[last], a + self.AT_ONCE)
+                flat = np.flatnonzero((self._cheap(short[None, a:b], self.short_seeds[:, None]) < below[None, a:b]).ravel())
+                samples.append(flat // (b - a))
+                places.append(flat - samples[-1] * (b - a) + a)
+            sample, at = np.concatenate(samples), np.concatenate(places)
+            if len(samples) > 1:
+                order = np.argsort(sample, kind="stable")
+                sample, at = sample[order], at[order]
+            n = last - first
+            best, names = np.full(n * self.samples, np.inf, np.float32), np.zeros(n * self.samples, np.uint32)
+            self._least(sample * n + text[at] - first, sample, at, (keys, short, ln_w), best, names)
+            # Texts of which no shingle has been found below the bound in a sample.
+            again = np.nonzero(best > np.tile(limit[first:last], self.samples))[0]
+            if len(again):
+                size = np.diff(offsets)[again % n + first]
+                start = lengths_to_offsets(size)
+                at = np.arange(start[-1]) - np.repeat(start[:-1] - offsets[again % n + first], size)
+                self._least(np.repeat(again, size), np.repeat(again // n, size), at, (keys, short, ln_w), best, names)
+            out[first:last] = names.reshape(self.samples, n).T
+            first = last
+        return out
+
+    def _least(self, group: np.ndarray, sample: np.ndarray, at: np.ndarray, shingle: tuple[np.ndarray, ...], best: np.ndarray, names: np.ndarray) -> None:
+        """Puts the least ``ln a`` of each group of neighbouring rows, and its name, to the group's place."""
+        if len(group):
+            keys, short, ln_w = (x[at] for x in shingle)
+            ln_a, level = self._drawn(sample, keys, short, ln_w)
+            start = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+            best[group[start]] = np.minimum.reduceat(ln_a, start)
+            won = np.nonzero(ln_a == best[group])[0][::-1]  # of equals the first
+            names[group[won]] = self._names(keys[won], level[won])
 
 
 def wordless_node(text: str | None) -> bytes:
-    """A name of a whole text, of another length than those of words."""
-    return b"null" if text is None else b"text" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    """A digest of a whole text without words."""
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"), seed=1 if text is None else 2)
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, s: Settings = Settings()) -> DataFrame:
-    """``row_id, doc_id, text, carried, node binary, samples binary, buckets array<long>``.
+def signatures(docs: DataFrame, weights: Weights, s: Settings = Settings()) -> DataFrame:
+    """``row_id, doc_id, text, carried, hi, lo, samples array<int>, buckets array<long>``.
 
-    ``row_id`` is unique, ``carried`` holds the other columns, ``node`` names the words, or without any the whole text,
+    ``row_id`` is unique, ``carried`` holds the other columns; ``hi, lo`` name the words, or without any the whole text,
     which then is in no bucket.
     """
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *others).alias("carried"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
-    sent = docs.sparkSession.sparkContext.broadcast(idf)  # 4 << df_bits bytes
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("hi long, lo long, samples array<int>, buckets array<long>")])
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # see step 1 for the bound
 
     def make():
-        hasher, sampler, table = WordHasher(), Sampler(s.samples), sent.value
-        band = (np.arange(s.bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+        hasher, sampler = WordHasher(), Sampler(s.samples)
+        band = (np.arange(s.bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE)
 
         def sign(batch: pa.RecordBatch) -> dict:
-            nodes, samples, buckets = [], [], []
+            texts = batch.column(2).to_pylist()
+            nodes, own = [], []
+            for text, (hashes, found) in zip(texts, shingled(texts, sent.value, hasher, s), strict=True):
+                nodes.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else wordless_node(text))
+                own.append(found)
+            there = np.array([len(k) > 0 for k, _ in own], bool)
             with np.errstate(over="ignore"):
-                texts = batch.column(2).to_pylist()
-                for first, hashes, offsets in word_groups(texts, hasher):
-                    for text, a, b in zip(texts[first:], offsets, offsets[1:], strict=False):
-                        if a == b:
-                            nodes.append(wordless_node(text)), samples.append(None), buckets.append([])
-                            continue
-                        drawn = sampler.sample(*shingles(hashes[a:b], table, s))
-                        value = band.copy()
-                        for k in range(s.rows):
-                            value = mixed(value ^ drawn[k :: s.rows].astype(np.uint64))
-                        nodes.append(xxhash.xxh3_128_digest(hashes[a:b].tobytes()))
-                        samples.append(drawn.tobytes())
-                        buckets.append(value.view(np.int64))
-            return {name: batch.column(k) for k, name in enumerate(batch.schema.names)} | {"node": nodes, "samples": samples, "buckets": buckets}
+                drawn = sampler.sample([x for x in own if len(x[0])])
+                buckets = np.repeat(band[None, :], len(drawn), 0)
+                for k in range(s.rows):
+                    buckets = mixed(buckets ^ drawn[:, k :: s.rows].astype(np.uint64))
+            halves = np.frombuffer(b"".join(nodes), "<i8").reshape(-1, 2)
+            passed = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            return passed | {"hi": halves[:, 0], "lo": halves[:, 1], "samples": _lists(drawn.view(np.int32), there), "buckets": _lists(buckets.view(np.int64), there)}
 
         return sign
 
     return map_batches(rows, make, schema)
 
 
+def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Rows of ``values`` as lists; empty ones where nothing is there."""
+    offsets = lengths_to_offsets(there * values.shape[1]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of least over sum of greatest weights, or the same of the sets if that is larger."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
+    """Weighted Jaccard similarity: sum of least over sum of greatest weights."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), max(0, len(b[0]) - 1))
+    same = b[0][at] == a[0] if len(b[0]) else np.zeros(0, bool)
+    low = float(np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64))
     high = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - low
-    return max(low / high, len(i) / (len(a[0]) + len(b[0]) - len(i))) if high else 0.0
+    return low / high if high else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose whole texts have the similarity asked for."""
-    sent = pairs.sparkSession.sparkContext.broadcast(idf)
+def star_links(pairs: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -> DataFrame:
+    """``src, dst``: those of ``pairs(leader, node)`` that have the similarity asked for.
 
-    def make():
-        hasher, table = WordHasher(), sent.value
-        known: dict[bytes, tuple] = {}  # leaders come again and again
+    A leader's text goes once to each ``leader_rows`` of its nodes, in rows that follow it.
+    """
+    parts = written(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / s.leader_rows).cast("long").alias("parts")))
+    own = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("follows"), "node")
+    leaders = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("follows"), F.col("leader").alias("node"))
+    rows = own.union(leaders).join(texts.select("node", "text").hint("merge"), "node").select("leader", "part", "follows", "node", "text")
+    sent = pairs.sparkSession.sparkContext.broadcast(weights)
 
-        def of(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[node] = shingles(hasher.hashes(text.encode("utf-8", "surrogatepass"))[0], table, s)
-            return known[node]
+    def make():
+        hasher, lead = WordHasher(), None
 
-        def verify(batch: pa.RecordBatch) -> dict:
+        def compare(batch: pa.RecordBatch) -> dict:
+            nonlocal lead
             out: dict[str, list] = {"src": [], "dst": []}
-            with np.errstate(over="ignore"):
-                for src, dst, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    if similarity(of(src, a), of(dst, b)) >= s.similarity:
-                        out["src"].append(src), out["dst"].append(dst)
+            columns = [batch.column(k).to_pylist() for k in (0, 2, 3, 4)]
+            for leader, follows, node, (_, own) in zip(*columns[:3], shingled(columns[3], sent.value, hasher, s), strict=True):
+                if not follows:
+                    lead = own
+                elif similarity(lead, own) >= s.similarity - 1e-9:
+                    out["src"].append(leader), out["dst"].append(node)
             return out
 
-        return verify
+        return compare
 
-    one, two = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text")), texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
-    return map_batches(pairs.join(two, "dst").join(one, "src").select("src", "dst", "src_text", "dst_text"), make, "src binary, dst binary")
+    dealt = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "follows")
+    return map_batches(dealt, make, "src long, dst long")
 
 
-def star_pairs(members: DataFrame, order) -> DataFrame:
-    """Pairs of each bucket's leader, first by ``order``, with its members of other components."""
-    lead = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("component").alias("led"))).alias("lead"), F.min("component").alias("a"), F.max("component").alias("b"))
-    lead = lead.where(F.col("a") != F.col("b")).select("bucket", "lead.leader", "lead.led")
-    pairs = members.join(lead, "bucket").where(F.col("component") != F.col("led"))
-    return pairs.select(F.least("node", "leader").alias("src"), F.greatest("node", "leader").alias("dst")).distinct()
+def links_within(own: list[tuple[np.ndarray, np.ndarray]], component: np.ndarray, s: Settings, wanted=None) -> list[tuple[int, int]]:
+    """Links that join the components of one group of texts as far as similar texts do.
 
-
-def split_buckets(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components."""
-    split = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-    return members.join(split.select("bucket"), "bucket", "left_semi")
-
-
-def _in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
-    """``rows`` of buckets dealt to pairs of blocks ``low, high``, so that any two rows of a bucket meet in one group."""
-    size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(size, "bucket").withColumn("blocks", F.ceil(F.col("size") / s.block).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("size", "blocks", "other")
-
-
-def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two blocks of a group, or all rows twice."""
-    if group.low.iloc[0] == group.high.iloc[0]:
-        return np.arange(len(group)), np.arange(len(group))
-    low = (group.block == group.low).to_numpy()
-    return np.nonzero(low)[0], np.nonzero(~low)[0]
-
-
-def near_other_components(members: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
-    """``bucket, node, component`` of the members that agree in enough samples with one of another component.
-
-    Two nodes that share several buckets are compared in the first of them only. ``signed``: ``node, samples, buckets``.
+    ``wanted(k, others)``: which rows after k to compare with it, all without it. Takes a byte for each two texts.
     """
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        drawn, buckets = np.frombuffer(b"".join(group.samples), np.uint32).reshape(len(group), -1), np.stack(group.buckets.to_list())
-        component, bucket = pd.factorize(group.component)[0], group.bucket.iloc[0]
-        left, right = _sides(group)
-        least, near = s.least_agreement * drawn.shape[1], np.zeros(len(group), bool)
-        for k in left:
-            other = right[component[right] != component[k]]
-            if len(other):
-                other = other[buckets[k][(buckets[other] == buckets[k]).argmax(1)] == bucket]
-                hit = other[np.count_nonzero(drawn[other] == drawn[k], axis=1) >= least]
-                near[hit] = True
-                near[k] |= len(hit) > 0
-        return group.loc[near, ["bucket", "node", "component"]]
-
-    return _in_blocks(members.join(signed, "node"), s).groupBy("bucket", "low", "high").applyInPandas(mark, "bucket long, node binary, component binary").distinct()
-
-
-def block_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, s: Settings) -> DataFrame:
-    """``src, dst``: for each two components with similar texts in a bucket's blocks, a pair of such."""
-    sent = members.sparkSession.sparkContext.broadcast(idf)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        hasher, table = WordHasher(), sent.value
-        with np.errstate(over="ignore"):
-            own = [shingles(hasher.hashes(t.encode("utf-8", "surrogatepass"))[0], table, s) for t in group.text]
-        n = np.array([len(k) for k, _ in own])
-        total = np.array([w.sum(dtype=np.float64) for _, w in own])
-        left, right = _sides(group)
-        # Postings of the right side's shingles, by shingle.
-        text = np.repeat(right, n[right])
-        key, weight = np.concatenate([own[k][0] for k in right]), np.concatenate([own[k][1] for k in right])
-        order = np.argsort(key, kind="stable")
-        text, key, weight = text[order], key[order], weight[order].astype(np.float64)
-        component, node = pd.factorize(group.component)[0], group.node.to_numpy()
-        found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
-        for k in left:
-            low, shared = np.zeros(len(group)), np.zeros(len(group))
-            for a in range(0, n[k], 2048):
-                first, last = (np.searchsorted(key, own[k][0][a : a + 2048], side) for side in ("left", "right"))
-                count = last - first
-                at = np.repeat(first - lengths_to_offsets(count)[:-1], count) + np.arange(count.sum())
-                least = np.minimum(np.repeat(own[k][1][a : a + 2048], count), weight[at])
-                low += np.bincount(text[at], least, len(group))
-                shared += np.bincount(text[at], minlength=len(group))
-            likeness = np.maximum(low / (total + total[k] - low), shared / (n + n[k] - shared))
-            for j in right[(likeness[right] >= s.similarity - 1e-9) & (component[right] != component[k])]:
-                found.setdefault((component[k], component[j]), (min(node[k], node[j]), max(node[k], node[j])))
-        return pd.DataFrame(found.values(), columns=["src", "dst"])
-
-    rows = members.join(texts.select("node", "text"), "node")
-    return _in_blocks(rows, s).groupBy("bucket", "low", "high").applyInPandas(compare, "src binary, dst binary").distinct()
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the component of each node."""
-    return members.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    m = len(own)
+    size, total = np.array([len(k) for k, _ in own]), np.array([w.sum(dtype=np.float64) for _, w in own])
+    key, weight, text = np.concatenate([k for k, _ in own]), np.concatenate([w for _, w in own]).astype(np.float64), np.repeat(np.arange(m), size)
+    order = np.argsort(key, kind="stable")
+    key, weight, text = key[order], weight[order], text[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    number, first = np.cumsum(new) - 1, np.nonzero(new)[0]
+    held_by = np.diff(np.append(first, len(key)))
+    # Each text's shingles, rarest first, until those that follow weigh less than the similarity asks for.
+    rare = np.lexsort((number, held_by[number], text))
+    before = np.cumsum(weight[rare]) - weight[rare]
+    start = lengths_to_offsets(size)[:-1]
+    before -= np.repeat(before[start], size)
+    rare = rare[(before <= (1 - s.similarity + 1e-6) * total[text[rare]]) & (held_by[number[rare]] > 1)]
+    rare = np.sort(rare)  # by shingle, then by text
+    shingle, holder, step = number[rare], text[rare], 1
+    share = np.zeros((m, m), bool)
+    while step < len(rare) and (same := shingle[step:] == shingle[:-step]).any():
+        share[holder[:-step][same], holder[step:][same]] = True
+        step += 1
+    place = np.empty(len(order), np.int64)  # where each text's shingles stand among the sorted ones
+    place[order] = np.arange(len(order))
+    label, found = component.copy(), []
+    for k in range(m):
+        others = np.flatnonzero(share[k])
+        others = others[label[others] != label[k]]
+        if wanted is not None and len(others):
+            others = others[wanted(k, others)]
+        if len(others) <= 8:
+            likeness = np.array([similarity(own[k], own[j]) for j in others])
+        else:  # all at once, by who holds the text's shingles
+            at = number[place[start[k] : start[k] + size[k]]]
+            count = held_by[at]
+            rows = np.repeat(first[at] - lengths_to_offsets(count)[:-1], count) + np.arange(count.sum())
+            low = np.bincount(text[rows], np.minimum(np.repeat(own[k][1].astype(np.float64), count), weight[rows]), m)[others]
+            likeness = low / (total[others] + total[k] - low)
+        for j in others[likeness >= s.similarity - 1e-9] if len(others) else ():
+            if label[j] != label[k]:
+                found.append((int(component[k]), int(component[j])))
+                label[label == label[j]] = label[k]
+    return found
+
+
+def group_links(rows: DataFrame, texts: DataFrame, weights: Weights, s: Settings) -> DataFrame:
+    """``src, dst``: links of components within each group of ``rows(group, bucket, node, component)``.
+
+    Texts that share several buckets of samples are compared in the first of them only; ``bucket`` is null in other groups.
+    """
+    schema = T.StructType.fromDDL("src long, dst long")
+    dealt = rows.join(texts.select("node", "text", "buckets").hint("merge"), "node").select("group", "bucket", "component", "text", "buckets")
+    dealt = dealt.repartition("group").sortWithinPartitions("group")
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, hasher, held = to_arrow_schema(schema), WordHasher(), []
+
+        def links() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held)
+            held.clear()
+            component, bucket = group.column("component").to_numpy(), group.column("bucket")[0].as_py()
+            buckets = np.array(group.column("buckets").to_pylist(), np.int64)
+            own = [found for _, found in shingled(group.column("text").to_pylist(), sent.value, hasher, s)]
+
+            def first_here(k: int, others: np.ndarray) -> np.ndarray:
+                return buckets[k][(buckets[others] == buckets[k]).argmax(1)] == bucket
+
+            found = links_within(own, component, s, first_here if bucket is not None else None)
+            return as_batch({"src": [a for a, _ in found], "dst": [b for _, b in found]}, arrow)
+
+        for batch in slices(batches):
+            group = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != group[a]:
+                    yield links()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links()
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def split_groups(rows: DataFrame, texts: DataFrame, s: Settings, level: int) -> DataFrame:
+    """``rows`` by further samples: 16 ways at once to deal each group, four other samples in each."""
+    ways = np.random.default_rng(level).permutation(s.samples).reshape(-1, s.rows)
+    groups = [F.xxhash64(F.col("group"), F.lit(level * 1000 + k), *[F.col("samples")[int(x)] for x in way]) for k, way in enumerate(ways)]
+    both = rows.join(texts.select("node", "samples"), "node")
+    return both.select(F.explode(F.array(*groups)).alias("group"), F.lit(None).cast("long").alias("bucket"), "node", "component", "size")
+
+
+def block_pairs(rows: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """``rows`` of each group dealt to pairs of blocks that one task can hold, so that any two rows meet."""
+    blocks = F.greatest(F.ceil(2 * F.col("n") / s.group_rows), F.ceil(2 * F.col("bytes") / s.group_bytes)).cast("long")
+    dealt = rows.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("group"), F.lit(None).cast("long").alias("bucket"), "node", "component", "size")
+
+
+def groups_for_tasks(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """``rows(group, bucket, node, component, size)`` of groups with several components, each small enough for a task."""
+    ready = []
+    for level in range(s.splits + 1):
+        rows = written(rows)
+        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("component").alias("a"), F.max("component").alias("b"))
+        sizes = written(sizes.where(F.col("a") != F.col("b")).select("group", "n", "bytes"))
+        fits = (F.col("n") <= s.group_rows) & (F.col("bytes") <= s.group_bytes) | (F.col("n") <= 2)
+        ready.append(rows.join(sizes.where(fits).select("group"), "group"))
+        large = sizes.where(~fits)
+        if large.isEmpty():
+            break
+        rest = rows.join(large.select("group"), "group")
+        if level == s.splits:
+            ready.append(block_pairs(rest, large, s))
+        else:
+            rows = split_groups(rest, texts, s, level + 1)
+    return functools.reduce(DataFrame.unionByName, ready)
 
 
 def labelled_rows(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """The signed rows of ``docs``, written, and ``row_id, doc_id, class_id, component`` of each."""
-    idf = idf_table(*document_frequencies(docs, s))
-    signed = written(signatures(docs, idf, s))
-    members = signed.dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b"))
-    members = written(members.join(shared.select("bucket"), "bucket"))
-    candidates = members.select("node").distinct()
-    texts = written(signed.join(candidates, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "samples", "buckets")]))
-
-    links = written(verified(star_pairs(members.withColumn("component", F.col("node")), F.col("node")), texts, idf, s))
-    now = written(split_buckets(_labelled(members, links)))
-    links = written(links.union(verified(star_pairs(now, F.xxhash64("node", "bucket")), texts, idf, s)))
-    now = split_buckets(_labelled(now.drop("component"), links))
-    now = written(near_other_components(now, texts.select("node", "samples", "buckets"), s))
-    links = written(links.union(block_links(now, texts, idf, s)))
-    component = written(connected_components(links))
-
-    least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = written(least.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least"))
-    ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "component").select("node", "class_id", "component")
-    return signed, signed.select("row_id", "doc_id", "node").join(named, "node").select("row_id", "doc_id", "class_id", "component")
+    # Joins with texts or all rows are merges at any size: what is left of a corpus may be broadcast only while it is small.
+    weights = word_weights(docs, s)
+    signed = written(signatures(docs, weights, s))
+    # A node is the first row of its words.
+    nodes = written(signed.groupBy("hi", "lo").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least")))
+    members = written(signed.select("row_id", "buckets").hint("merge").join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), F.explode("buckets").alias("bucket")))
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where(F.col("n") > 1))
+    members = written(members.hint("merge").join(shared, "bucket"))
+    candidates = members.select(F.col("node").alias("row_id")).distinct()
+    texts = written(signed.hint("merge").join(candidates, "row_id").select(F.col("row_id").alias("node"), "text", "samples", "buckets"))
+
+    pairs = written(members.where(F.col("node") != F.col("leader")).select("leader", "node").distinct())
+    near = written(connected_components(written(star_links(pairs, texts, weights, s))))
+    sizes = texts.select("node", F.octet_length("text").cast("long").alias("size"))
+    left = members.where(F.col("n") > 2).join(sizes, "node").join(near, "node", "left")
+    left = left.select(F.col("bucket").alias("group"), "bucket", "node", F.coalesce("component", "node").alias("component"), "size")
+    links = written(group_links(groups_for_tasks(left, texts, s), texts, weights, s))
+    merged = written(connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("into")))
+
+    named = nodes.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).join(merged, "component", "left")
+    named = written(named.select("hi", "lo", "least", F.coalesce("into", "component").alias("component")))
+    ids = written(named.groupBy("component").agg(F.min("least").alias("class_id")))
+    named = written(named.join(ids, "component").select("hi", "lo", "class_id", "component"))
+    return signed, signed.select("row_id", "doc_id", "hi", "lo").join(named, ["hi", "lo"]).select("row_id", "doc_id", "class_id", "component")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -403,7 +516,7 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     signed, rows = labelled_rows(docs, s)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
     kept = signed.join(first.select("first.row_id"), "row_id", "left_semi")
-    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
