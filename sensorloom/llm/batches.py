@@ -67,6 +67,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores after it as it takes to differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(texts: list[str | None]) -> list[bytes]:
     """The bytes of each text; null becomes empty."""
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]

@@ -93,16 +93,15 @@ class FMIndex:
         sampled = order % every == 0
         self.sampled, self.samples = Bits(sampled), order[sampled]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of right-aligned patterns, by backward search."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
-        for back in range(1, patterns.shape[1] + 1):
-            live = np.nonzero((lengths >= back) & (low < high))[0]
-            if not len(live):
-                break
-            symbol = patterns[live, -back]
+    def search(self, symbols: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges of the patterns ``symbols[start : start + length]``, by backward search."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.size, np.int64)
+        live, back = np.arange(len(start)), 1
+        while len(live := live[(lengths[live] >= back) & (low[live] < high[live])]):
+            symbol = symbols[start[live] + lengths[live] - back].astype(np.int64)
             low[live] = self.first[symbol] + self.transform.rank(symbol, low[live])
             high[live] = self.first[symbol] + self.transform.rank(symbol, high[live])
+            back += 1
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
