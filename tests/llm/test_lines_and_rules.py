@@ -35,15 +35,32 @@ def test_line_dedup_equals_brute_force(spark):
     rows = list(enumerate(texts)) + [(2, shared), (None, shared), (None, "only null ids have this"), (3, "a second row of document 3")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as n_lines", "2 as keeper", "3 as hi")
     got = L.dedup_lines(docs)
-    assert {"keeper", "hi"} <= set(got.columns)
+    assert got.columns == [*docs.columns, "lines"] and {(r["n_lines"], r["keeper"], r["hi"]) for r in got.collect()} == {(1, 2, 3)}
     norm = lambda rs: sorted(((-1 if a is None else a), *rest) for a, *rest in rs)
-    assert norm((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()) == norm(brute_dedup(rows))
+    assert norm((r["doc_id"], *r["lines"], r["text"] or "") for r in got.collect()) == norm(brute_dedup(rows))
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_heavy_lines_are_split_without_loss(spark):
+    rows = [(k, "a line that all have\n" + ("a line of some\n" if k % 3 else "") + f"a line of number {k}") for k in range(60)]
+    lines = L.hashed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    shared = L.shared_lines(lines)
+    lost = {heavy: {r["doc_id"]: len(r["dropped"]) for r in L.dropped_lines(lines, shared, heavy).collect()} for heavy in (1, 5, 40)}
+    assert lost[1] == lost[5] == lost[40] == {k: 1 + (k % 3 > 0 and k > 1) for k in range(1, 60)}
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, ["a line that both have", "a line that both have\nmore"])
+    for c in ("lost", "lost_by", "lines", "n_dropped", "hi", "part"):
+        docs = docs.withColumn(c, docs.doc_id + 7)
+    got = L.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "lines_"] == [*docs.columns, L.lines_column(docs)]
+    assert sorted((r["doc_id"], r["text"], r["lost"], r["lines"], r["lines_"]["n_dropped"]) for r in got.collect()) == [(0, "a line that both have", 7, 7, 0), (1, "more", 8, 8, 1)]
+
+
 def test_higher_threshold_counts_documents(spark):
     docs = spark.createDataFrame([(1, "a line to count\na line to count"), (2, "a line to count"), (3, "twice only held"), (4, "twice only held"), (5, "a line to count")], "doc_id long, text string")
-    assert {r["doc_id"]: r["n_dropped"] for r in L.dedup_lines(docs, min_docs=3).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert {r["doc_id"]: r["lines"]["n_dropped"] for r in L.dedup_lines(docs, min_docs=3).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
 
 
 def brute_counts(text):
