@@ -11,8 +11,8 @@
 Ranks come from a window over (length, bucket of the id's hash) plus the counts of the buckets before, so a
 length that a third of all pieces have is ordered in as many parts as there are buckets.
 
-Null text counts as empty and gives one piece, the end id. A null ``doc_id`` is kept. Repeated rows are
-packed each for itself. An empty table gives an empty result. Other columns than ``doc_id`` and ``text``
+Null text counts as empty and gives one piece, the end id. A null ``doc_id`` is kept. Very long texts are encoded and cut whole. Repeated
+rows are packed each for itself; pieces that tie in id, number and place go in order of their ids' checksum, and equal ones are alike. An empty table gives an empty result. Other columns than ``doc_id`` and ``text``
 aren't read.
 """
 
@@ -44,7 +44,7 @@ class Slots:
 
 def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece."""
-    end = np.array([end_id], ID).tobytes()
+    end = np.array([end_id], ID)
 
     def make():
         encoder = vocabulary.encoder()
@@ -52,11 +52,11 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: V
         def cut(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text) + end
-                n = len(ids) // ID.itemsize
+                ids = np.concatenate([encoder.ids(text), end])
+                n = len(ids)
                 bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    for name, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a * ID.itemsize : b * ID.itemsize])), strict=True):
+                    for name, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a:b])), strict=True):
                         out[name].append(value)
             return out
 

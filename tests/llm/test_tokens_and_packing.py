@@ -12,7 +12,8 @@ from sensorloom.llm import token_counts as C
 from sensorloom.llm.tokens import Vocabulary
 
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-ENCODER = Vocabulary(kept=20).encoder()
+ENCODER = Vocabulary().encoder()
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def plain(text):
@@ -22,12 +23,22 @@ def plain(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list(" \n\t aZ9é'.,!|中\r　")), max_size=40))
 def test_ids_equal_the_tokenizer(text):
-    assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == plain(text)
+    assert ENCODER.ids(text).tolist() == plain(text)
 
 
 def test_odd_texts():
+    for blank in BLANKS:
+        for form in ("a{0}b", "a {0} b", "a{0} {0}b", "{0}{0}a", "a{0}{0}", "a \xa0{0} \xa0 b"):
+            assert ENCODER.ids(form.format(blank)).tolist() == plain(form.format(blank))
     for text in ("we're it's  'll x", "a<|endoftext|>b  c", "tail ", " lead", "a\n b", "a \n\n  b", "word " * 500, "x" * 3000, "<|endoftext|>"):
-        assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == plain(text)
+        assert ENCODER.ids(text).tolist() == plain(text)
+
+
+def test_runs_too_long_for_the_pattern():
+    for run in (" " * 12_000, " \n" * 6000, "\u3000" * 10_000, "\n" * 300_000):
+        for form in ("a{}b", "{}a", "a{}", "a{}<|endoftext|> b", "a {}!"):
+            assert ENCODER.ids(form.format(run)).tolist() == plain(form.format(run))
+    assert ENCODER.count(" " * 3_000_000) > 0
 
 
 def test_limits_equal_brute_force(spark):
