@@ -2,13 +2,14 @@
 
 A tokenizer splits a page into tags and text; a tree builder closes what HTML lets authors leave open (``</p>``,
 ``</li>``, ``</td>``, ...) and ignores end tags without a start; visibility rules drop what a browser doesn't show
-(scripts, ``hidden``, ``display:none`` inline or by a plain selector of the page's own style sheets, closed
-``details``); and the renderer sets paragraphs and headings apart, numbers and indents lists, keeps
-preformatted text, and pads table cells to columns.
-
-Each page is a row of its own; nothing is shuffled. Null or empty html gives empty text. Repeated rows and null ids
-are kept, other columns aren't read, an empty table gives an empty result. The builder and the renderer keep
-their own stacks, so deep nesting can't exhaust Python's.
+(scripts, ``hidden``, closed ``details``, and what style attributes and the page's own style sheets hide, by the cascade: see
+``styles``); and the renderer sets paragraphs and headings apart, numbers and indents lists, keeps
+preformatted text with its line ends, and pads table cells to columns, also where cells span several rows or columns.
+
+Each page is a row of its own; nothing is shuffled. Null or empty html gives empty text. Very long pages are parsed whole, in time in
+proportion to their length; the builder and the renderer keep their own stacks, so deep nesting can't exhaust Python's.
+Repeated rows and null ids are kept, other columns, whatever their names, aren't read, an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.batches import map_batches
+from sensorloom.llm.styles import Styles, on_screen
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_NEVER = frozenset("script style head title template noscript iframe noembed noframes datalist object audio video canvas svg math col colgroup".split())
+_NEVER = frozenset("script style head title template noscript iframe noembed noframes datalist object audio video canvas col colgroup desc metadata defs symbol annotation annotation-xml".split())
 #: Blank lines around a block: 2 line ends set it apart, 1 only starts a line.
 _BLOCK = dict.fromkeys("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav option search section select summary tbody tfoot thead tr".split(), 1) | dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split(), 2)
 #: A start tag of the key ends open elements of the value, up to the barrier.
@@ -44,8 +46,6 @@ _P_BARRIER = frozenset({"td", "th", "table", "button", "object", "caption"})
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 _BLANK = str.maketrans("\t\n\r\f", "    ")
 
 
@@ -58,16 +58,22 @@ class Node:
 
 def parse(page: str) -> tuple[Node, list[str]]:
     """The page's tree and the contents of its style sheets."""
+    page = page.replace("\r\n", "\n").replace("\r", "\n")
     root, sheets = Node("#root", {}), []
     stack, at = [root], 0
+    opened: dict[str, list[int]] = {}  # where in the stack each tag is open
+
+    def highest(tags: frozenset[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def pop(n: int) -> None:
+        while len(stack) > n:
+            opened[stack.pop().tag].pop()
 
     def pop_to(tags: frozenset[str], barrier: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in barrier:
-                return
+        k = highest(tags)
+        if k and k > highest(barrier):
+            pop(k)
 
     while at < len(page):
         tag = _TAG.search(page, at)
@@ -81,7 +87,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if not name:
             continue
         if tag[2]:
-            if name == "p" and not any(n.tag == "p" for n in stack):
+            if name == "p" and not opened.get("p"):
                 stack[-1].children.append(Node("p", {}))
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -97,7 +103,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                     pop_to(frozenset({"tr"}), frozenset({"table"}))
             pop_to(*_ENDS[name])
         elif stack[-1].tag == "head" and name not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
-            stack.pop()  # anything else begins the body
+            pop(len(stack) - 1)  # anything else begins the body
         attributes = {m[1].lower(): html.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTRIBUTE.finditer(tag[4])} if tag[4].strip(" /\t\n\r\f") else {}
         node = Node(name, attributes)
         stack[-1].children.append(node)
@@ -106,30 +112,29 @@ def parse(page: str) -> tuple[Node, list[str]]:
             inside = page[at : close.start() if close else len(page)]
             at = page.find(">", close.start()) + 1 or len(page) if close else len(page)
             if name == "style":
-                sheets.append(inside)
+                if on_screen(attributes.get("media", "")):
+                    sheets.append(inside)
             elif name in ("textarea", "title"):
                 inside = html.unescape(inside)
             node.children.append(inside)
-        elif name not in _VOID:
+        elif name not in _VOID and not (tag[4].endswith("/") and (opened.get("svg") or opened.get("math"))):
+            opened.setdefault(name, []).append(len(stack))
             stack.append(node)
+            if name == "pre" and page.startswith("\n", at):
+                at += 1
     return root, sheets
 
 
-def hidden_selectors(sheets: list[str]) -> set[str]:
-    """Plain tag, .class and #id selectors that style sheets hide."""
-    return {s.strip() for sheet in sheets for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)) if _HIDES.search(m[2]) for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
-
-
-def shown(node: Node, hidden: set[str], parent: Node) -> bool:
+def shown(node: Node, display: str | None, parent: Node) -> bool:
+    """Whether a browser makes a box for the element, given the ``display`` that the page asks for."""
     a = node.attributes
-    if node.tag in _NEVER or node.tag == "dialog" and "open" not in a or parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
+    if node.tag in _NEVER or parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
+        return False
+    if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    if a:
-        if "hidden" in a or a.get("type", "").lower() == "hidden" and node.tag == "input" or "style" in a and _HIDES.search(a["style"]):
-            return False
-        if hidden and ("#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split())):
-            return False
-    return node.tag not in hidden
+    if display:
+        return display != "none"
+    return "hidden" not in a and not (node.tag == "dialog" and "open" not in a)
 
 
 class Flow:
@@ -148,6 +153,16 @@ class Flow:
         elif text:
             self.space = True
 
+    def lines(self, text: str) -> None:
+        """Preformatted text: all blanks and line ends count."""
+        first, *rest = text.split("\n")
+        if first:
+            self.raw(first)
+        for line in rest:
+            self.line_end()
+            if line:
+                self.raw(line)
+
     def raw(self, text: str) -> None:
         if self.started:
             self.parts.append("\n" * self.breaks or " " * self.space)
@@ -164,46 +179,86 @@ class Flow:
         return "".join(self.parts)
 
 
-def table_text(rows: list[list[tuple[str, int]]]) -> str:
-    """Cells in columns, two blanks apart; a cell of several lines takes as many."""
-    grid = [[part for text, span in row for part in [text.split("\n"), *[[""]] * (span - 1)]] for row in rows]
+def table_text(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Cells (text, columns, rows) in columns, two blanks apart; a cell of several lines takes as many, one of several rows the first."""
+    grid: list[dict[int, list[str]]] = []
     width: dict[int, int] = {}
-    for (row, cells) in zip(grid, rows, strict=True):
-        spans = [span for _, span in cells for _ in range(span)]
-        for k, lines in enumerate(row):
-            if spans[k] == 1:
-                width[k] = max([width.get(k, 0), *map(len, lines)])
+    wide: list[tuple[int, int, int]] = []  # first and last column of cells over several, and how much they hold
+    taken: dict[int, int] = {}  # for how many rows more a column belongs to a cell above
+    for row in rows:
+        cells, k, later = {}, 0, {}
+        for text, columns, deep in row:
+            while k in taken:
+                k += 1
+            cells[k] = text.split("\n")
+            longest = max(map(len, cells[k]))
+            if columns == 1:
+                width[k] = max(width.get(k, 0), longest)
+            elif longest:
+                wide.append((k, k + columns - 1, longest))
+            if deep > 1:
+                later |= dict.fromkeys(range(k, k + columns), deep - 1)
+            k += columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | later
+        grid.append(cells)
+    n = max((max(cells) for cells in grid if cells), default=-1) + 1
+    for first, last, longest in sorted(wide, key=lambda x: x[1]):
+        if last < n:
+            there = sum(width.get(k, 0) + 2 for k in range(first, last + 1)) - 2
+            width[last] = width.get(last, 0) + max(0, longest - there)
+    start = [0]
+    for k in range(n):
+        start.append(start[-1] + width.get(k, 0) + 2)
     out = []
-    for row in grid:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((lines[i] if i < len(lines) else "").ljust(width.get(k, 0)) for k, lines in enumerate(row)).rstrip())
+    for cells in grid:
+        if any(map(any, cells.values())):
+            for i in range(max(map(len, cells.values()))):
+                line = ""
+                for k, lines in sorted(cells.items()):
+                    if i < len(lines) and lines[i]:
+                        line = line.ljust(start[k]) + lines[i]
+                out.append(line.rstrip())
     return "\n".join(out)
 
 
-def render(root: Node, hidden: set[str]) -> str:
+def _span(value: str | None, most: int, zero: int = 1) -> int:
+    """A number of columns or rows, up to what HTML allows."""
+    if not value or not value.isascii() or not value.isdigit() or len(value) > 9:
+        return 1
+    return min(int(value), most) or zero
+
+
+def render(root: Node, styles: Styles) -> str:
     """All visible text in order, by an explicit walk with a stack of flows."""
-    flows, tables, lists, pre = [Flow()], [], [], 0
-    work: list[tuple] = [("in", root, root)]
+    flows, tables, lists, pre, drawings = [Flow()], [], [], 0, []
+    # Each step has the node, its ancestors as nested pairs, and whether its text is visible.
+    work: list[tuple] = [("in", root, (Node("#page", {}), None), True)]
     while work:
-        step, node, parent = work.pop()
+        step, node, above, visible = work.pop()
+        parent = above[0]
         if step == "in" and isinstance(node, str):
-            if parent.tag == "details" and "open" not in parent.attributes:
+            if not visible or parent.tag == "details" and "open" not in parent.attributes or drawings and not drawings[-1]:
                 continue
-            if pre and node.strip("\n"):
-                flows[-1].raw(node.strip("\n"))
-            elif not pre and not (parent.tag in ("table", "tr", "tbody", "ul", "ol") and not node.strip()):
+            if pre:
+                flows[-1].lines(node)
+            elif not (parent.tag in ("table", "tr", "tbody", "ul", "ol") and not node.strip()):
                 flows[-1].put(node)
             continue
         tag = node.tag
         if step == "in":
-            if tag != "#root" and not shown(node, hidden, parent):
-                continue
+            if tag != "#root":
+                own = styles(tag, node.attributes, above) if styles.by_key or "style" in node.attributes else {}
+                if not shown(node, own.get("display"), parent):
+                    continue
+                if "visibility" in own and own["visibility"] != "inherit":
+                    visible = own["visibility"] not in ("hidden", "collapse")
             if tag == "br":
                 flows[-1].line_end()
                 continue
             if tag in ("input", "img"):
                 label = node.attributes.get("value" if tag == "input" else "alt", "")
-                flows[-1].put(label)
+                if visible:
+                    flows[-1].put(label)
                 continue
             if tag in _BLOCK:
                 flows[-1].block(1 if tag in ("ul", "ol", "menu") and lists else _BLOCK[tag])
@@ -219,11 +274,18 @@ def render(root: Node, hidden: set[str]) -> str:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables or tag == "li":
                 flows.append(Flow())
-            work.append(("out", node, parent))
-            work.extend(("in", child, node) for child in reversed(node.children))
+            elif tag in ("svg", "foreignobject") or drawings and tag == "text":
+                drawings.append(tag != "svg")  # of a drawing, only its text elements and embedded pages are text
+            work.append(("out", node, above, visible))
+            inside = (node, above)
+            work.extend(("in", child, inside, visible) for child in reversed(node.children))
             continue
         if tag in ("pre", "textarea", "xmp"):
             pre -= 1
+        elif tag in ("svg", "foreignobject") or tag == "text" and drawings:
+            drawings.pop()
+            if tag == "text":
+                flows[-1].block(1)
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag == "li":
@@ -235,12 +297,12 @@ def render(root: Node, hidden: set[str]) -> str:
                 flows[-1].block(1)
                 flows[-1].raw(mark + re.sub(r"\n(?!\n)", "\n" + " " * len(mark), text))
         elif tag in ("td", "th") and tables:
-            text, span = flows.pop().text(), node.attributes.get("colspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((text, min(int(span), 100) if span.isascii() and span.isdigit() and 0 < len(span) < 9 and int(span) else 1))
+            a = node.attributes
+            tables[-1][-1].append((flows.pop().text(), _span(a.get("colspan"), 1000), _span(a.get("rowspan"), 65534, 65534)))
         elif tag == "table":
-            stray, grid = flows.pop().text(), table_text([row for row in tables.pop() if any(text for text, _ in row)])
+            stray, grid = flows.pop().text(), table_text(tables.pop())
             for text in (stray, grid):  # captions and text between cells come first
                 if text:
                     flows[-1].block(1)
@@ -254,7 +316,7 @@ def visible_text(page: str | None) -> str:
     if not page:
         return ""
     root, sheets = parse(page)
-    return render(root, hidden_selectors(sheets))
+    return render(root, Styles.of(sheets))
 
 
 def extract(pages: DataFrame) -> DataFrame:
