@@ -3,13 +3,14 @@
 1. Words around cues of a notice ("licen", "copyright", ...) form candidate blocks, wherever in a text they are.
 2. Around its cues, as far as a template is long, a block is compressed alone and with the template as zstandard raw
    dictionary. A template that the block repeats saves most of its own bytes; templates are ranked by that share.
-3. In that order they are confirmed by aligning words: the differences of wording, words of the template that the block
-   lacks and words it puts between, must be few. A confirmed notice is taken out and the rest of the block is
-   ranked again, until nothing more is confirmed.
+3. In that order they are confirmed by aligning words, exactly and anywhere in the block: the least number of words of the template
+   that are missing plus words put between must be small. Of several the one with fewest differences is confirmed, of equals the
+   longest template, then the first. A confirmed notice is taken out and the rest of the block is ranked again, until nothing more
+   is confirmed.
 
 Each document is a row of its own; nothing is shuffled, so neither hot sources nor copies matter. Null or empty
-text has no blocks. Repeated rows and null ids are kept. An empty table gives an empty result. Other columns
-aren't read.
+text has no blocks; very long texts are searched whole, in stretches that overlap by more than a template. Repeated rows and null ids are
+kept. An empty table gives an empty result. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from __future__ import annotations
 import bisect
 import re
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "This work is licensed under the CC0 1.0 Universal Public Domain Dedication."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
-CUES = (b"licen", b"copyright", b"permission is", b"redistribut", b"free software", b"creative commons")
+CUES = (b"licen", b"copyright", b"permission is", b"permission to use", b"redistribut", b"free software", b"creative commons", b"unencumbered")
 #: How words that hold a cue begin.
-CUE_WORDS = ("licen", "relicen", "sublicen", "copyright", "permission", "redistribut", "software", "commons")
+CUE_WORDS = ("licen", "relicen", "sublicen", "copyright", "permission", "redistribut", "software", "commons", "unencumbered")
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
@@ -71,6 +89,8 @@ class Scanner:
     def __init__(self, s: Settings) -> None:
         self.s = s
         self.words = [_WORD.findall(text.lower()) for _, text in s.templates]
+        self.numbers: dict[str, int] = {}
+        self.coded = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64) for words in self.words]
         self.reach = max(map(len, self.words)) + 8
         plain = {"level": s.level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**plain)
@@ -114,19 +134,30 @@ class Scanner:
         return sorted(ranked, key=lambda x: (-x[0], x[1]))
 
     def differences(self, block: list[str], k: int) -> tuple[int, int, int, int]:
-        """Words missing from the block and words put between, where it fits template ``k`` best, and that span."""
-        words = self.words[k]
-        best = (len(words), 0, 0, 0)
-        # Where the template's start could be: each place of one of its words, shifted.
-        starts = {i - j for j, w in enumerate(words[:3]) for i, b in enumerate(block) if b == w}
-        for start in sorted(starts):
-            part = block[max(0, start) : max(0, start) + len(words) + 3]
-            found = [m for m in SequenceMatcher(None, words, part, autojunk=False).get_matching_blocks() if m.size]
-            if found:
-                same = sum(m.size for m in found)
-                between = found[-1].b + found[-1].size - found[0].b - same
-                best = min(best, (len(words) - same, between, max(0, start) + found[0].b, max(0, start) + found[-1].b + found[-1].size), key=lambda x: (x[0] + x[1], x[2]))
-        return best
+        """Words missing from the block and words put between, where it fits template ``k`` best, and that span.
+
+        ``least[i, j]``: fewest differences between the template's first i words and words that end before the block's j-th; where
+        they begin is free. Of equal places the first one is taken.
+        """
+        words, own = self.coded[k], np.array([self.numbers.get(w, -1) for w in block], np.int64)
+        n, m = len(words), len(own)
+        step = np.arange(m + 1, dtype=np.int32)
+        least = np.zeros((n + 1, m + 1), np.int32)
+        for i in range(n):
+            row = least[i] + 1  # the word is missing
+            np.minimum(row[1:], np.where(own == words[i], least[i, :-1], n + m), out=row[1:])
+            least[i + 1] = np.minimum.accumulate(row - step) + step  # or words are put between
+        end = j = int(least[n].argmin())
+        i = n
+        missing = 0
+        while i:  # back along the cells it came from
+            if j and own[j - 1] == words[i - 1] and least[i, j] == least[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+            elif least[i, j] == least[i - 1, j] + 1:
+                i, missing = i - 1, missing + 1
+            else:
+                j -= 1
+        return missing, int(least[n, end]) - missing, j, end
 
     def findings(self, text: str | None) -> tuple[int, list[dict]]:
         """Number of candidate blocks, and the notices confirmed, by place."""

@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import duckdb
@@ -22,6 +23,21 @@ from sensorloom.llm import license_scan as S
         ("<dl><dt>k<dd>v<dt>l</dl>", "k\nv\nl"),
         ("x<!-- no --!>y<!doctype html>z<", "xyz<"),
         ("", ""),
+        ("<pre>a\n<b>b</b>\nc</pre>", "a\nb\nc"),
+        ("<pre>\r\n\r\n x\r\n\r\ny\n</pre>z", " x\n\ny\n\nz"),
+        ("<style>@media print{.x{display:none}}</style><p class=x>seen", "seen"),
+        ("<style>@media screen and (min-width:600px){.x{display:none}} @media (max-width:600px){.y{display:none}}</style><b class=x>no</b><b class=y>yes</b>", "yes"),
+        ("<style>.x{display:none}.x{display:block}</style><p class=x>seen", "seen"),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>seen", "seen"),
+        ("<style>.x{display:none !important}</style><p class=x style='display:block'>no", ""),
+        ("<style>div.x{display:none} p.x{color:red}</style><div class=x>no</div><p class=x>seen", "seen"),
+        ("<style>#a .b > i{display:none} .q i{display:none}</style><div id=a><p class=b><i>no</i><b><i>yes</i></b></div>", "yes"),
+        ("<style>a:hover{display:none} p{display:none} #s{display:block}</style><a>link</a><p>no<p id=s>seen", "link\n\nseen"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<style media=print>p{display:none}</style><p hidden>no<p>seen", "seen"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=300>wide<td>x<tr>" + "<td>i" * 300 + "<td>y</table>", "wide" + " " * 896 + "x\n" + "i  " * 300 + "y"),
+        ("<svg><title>no</title><text>label</text><path d='M'/></svg><math><mi>x</mi><annotation>no</annotation></math>", "label\nx"),
         ("<div>" * 5000 + "deep", "deep"),
     ],
 )
@@ -29,6 +45,13 @@ def test_layout(page, text):
     assert H.visible_text(page) == text
 
 
+def test_deep_pages_take_time_in_proportion():
+    for page in ("<div>" * 16_000 + "deep", "<p><span>" * 8_000 + "deep", "<p><button>" + "<div>" * 16_000 + "deep", "<ul><li>" * 4_000 + "<div>" * 8_000 + "deep"):
+        start = time.process_time()
+        assert H.visible_text(page).endswith("deep")
+        assert time.process_time() - start < 1.5
+
+
 class Naive(HTMLParser):
     """All text outside of head, script and style."""
 
@@ -87,3 +110,54 @@ def test_differences_are_counted():
     wording = S.TEMPLATES[2][1]
     n, found = scanner.findings(wording.replace("free of charge", "free of any charge").replace("and/or sell", "and sell"))
     assert n == 1 and [(f["license"], f["missing"], f["between"]) for f in found] == [("MIT", 1, 1)]
+
+
+def least_differences(template, block):
+    """Fewest missing and inserted words over every stretch of the block, cell by cell."""
+    row = [0] * (len(block) + 1)
+    for w in template:
+        new = [row[0] + 1]
+        for j, b in enumerate(block):
+            new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] if b == w else 10**6))
+        row = new
+    return min(row)
+
+
+def test_alignment_equals_brute_force():
+    rng = seeded(31)
+    scanner = S.Scanner(S.Settings())
+    for _ in range(60):
+        k = rng.randrange(len(S.TEMPLATES))
+        own = list(scanner.words[k])
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(0, 3)] = [rng.choice(["other", "word", own[at]]) for _ in range(rng.randrange(0, 3))]
+            own = own or ["x"]
+        block = prose(rng, rng.randrange(0, 30)).split() + own + prose(rng, rng.randrange(0, 30)).split()
+        missing, between, a, b = scanner.differences(block, k)
+        assert missing + between == least_differences(scanner.words[k], block)
+        assert b - a == len(scanner.words[k]) - missing + between and least_differences(scanner.words[k], block[a:b]) == missing + between
+
+
+def test_edited_notices_are_found_as_brute_force_says():
+    """A notice with words lost or put in anywhere, its first ones too, counts exactly if some template's differences are few."""
+    rng = seeded(32)
+    scanner, most = S.Scanner(S.Settings()), S.Settings().most_different
+    for _ in range(80):
+        k = rng.randrange(len(S.TEMPLATES))
+        own = S.TEMPLATES[k][1].split()
+        for _ in range(rng.randrange(0, max(2, len(own) // 6))):
+            at = rng.randrange(len(own))
+            if not scanner.blocks(own[at]) and len(own) > 3:
+                own[at : at + 1] = [] if rng.random() < 0.5 else [own[at], "elsewhere"]
+        text = prose(rng, 60) + "\n" + " ".join(own) + "\n" + prose(rng, 60)
+        words = S._WORD.findall(text.lower())
+        fits = {S.TEMPLATES[j][0] for j, template in enumerate(scanner.words) if least_differences(template, words) <= most * len(template)}
+        found = {f["license"] for f in scanner.findings(text)[1]}
+        assert bool(found) == bool(fits) and found <= fits
+
+
+def test_notices_without_their_first_words():
+    for wording, name in ((S.TEMPLATES[2][1].split(" ", 3)[3], "MIT"), (next(t for n, t in S.TEMPLATES if n == "ISC"), "ISC")):
+        n, found = S.Scanner(S.Settings()).findings("before this " + wording + " and after")
+        assert n == 1 and [f["license"] for f in found] == [name]
