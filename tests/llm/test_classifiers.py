@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import documents, prose, seeded
 
 from sensorloom.llm import quality_classifier as Q
@@ -77,13 +78,43 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert len(got) == len(texts)
     assert np.mean([(got[i] >= 0.5) == bool(t) for i, t in enumerate(toxic) if fold(i)]) > 0.97
     assert got[len(toxic)] < 0.5 and got[len(toxic) + 1] < 0.5
+    # The scores are a linear function of what a term-by-term search finds.
+    matcher = T.Matcher(model.lexicon)
+    for text in texts[:40]:
+        own = T.words(text)
+        assert matcher(text).terms == [k for k, t in enumerate(model.lexicon.terms) if any(w == t.encode() or t.endswith("*") and w.startswith(t[:-1].encode()) for w in own)]
+
+
+def test_words_of_any_length_count():
+    """Also at the beginning of long words and of runs without blanks."""
+    matcher = T.Matcher(T.Lexicon(["blarg*", "坏人坏人*", "snurfle"], 3))
+    for text, found in (("a blarg" + "x" * 3000 + " b", [0]), ("坏人坏人" + "今天天气很好" * 50, [1]), ("snurfles snurfle", [2]), ("blar", []), ("xblarg", [])):
+        assert matcher(text).terms == found
+
+
+def test_uses_of_terms():
+    matcher = T.Matcher(T.Lexicon(["blarg", "snurf*"], 2))
+    for text, uses in (
+        ("a bl@rg here", {"spelt"}),
+        ("b l a r g they said", {"spelt"}),
+        ("you are such a blarg", {"aimed"}),
+        ("the BLARG is there", {"capitals"}),
+        ("the blarg!", {"exclaimed"}),
+        ("the blarg and one blarg", {"repeated"}),
+        ("so id10t it is", {"spelt"}),
+        ("nothing of it! you @ all", set()),
+        ("", set()),
+    ):
+        assert matcher(text).uses == uses, text
+    assert matcher("what an Idiot").topics == {0} and matcher(None).topics == set()
 
 
 def test_copies_are_one_piece_of_evidence(spark):
     rng = seeded(9)
     text = prose(rng, 80)
     rows = [(text + f" end{k}", 1) for k in range(30)] + [(prose(rng, 80), 0) for _ in range(30)]
-    left = T.one_of_each_copy(spark.createDataFrame(rows, "text string, label int"))
+    left = T.one_of_each_copy(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, label int"))
+    assert rows[0][0] in {r["text"] for r in left.collect()}  # the first id of the copies
     assert left.where("label = 1").count() <= 2 and left.where("label = 0").count() == 30
 
 
@@ -100,7 +131,34 @@ def test_label_model_recovers_accuracies(spark):
         cells.append((cell, 1.0))
     model = T.fit_label_model(spark.createDataFrame(cells, "cell long, n double"))
     assert abs(model.prior - 0.2) < 0.03
-    assert all(abs(model.vote[1, k, 2] - 0.8 * (0.9 if k % 2 else 0.75)) < 0.06 for k in range(T.VOTERS))
+    assert all(abs(model.given[1, k, 0, 2] - 0.8 * (0.9 if k % 2 else 0.75)) < 0.06 for k in range(T.VOTERS))
+
+
+def test_label_model_finds_voters_that_repeat_each_other(spark):
+    """Ten voters that say the same are as good as one, and are found to depend on each other."""
+    rng = np.random.default_rng(6)
+    cells, truth = [], []
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        own = [(2 if y else 1) if rng.random() < 0.85 else (1 if y else 2) for _ in range(T.VOTERS)]
+        if rng.random() < 0.95:
+            own[10:20] = [own[10]] * 10
+        cells.append((T.cell(own), 1.0)), truth.append(y)
+    model = T.fit_label_model(spark.createDataFrame(cells, "cell long, n double"))
+    tied = [k for k in range(10, 20) if 10 <= model.parent[k] < 20]
+    assert len(tied) == 9 and all(model.parent[k] == -1 or 10 <= model.parent[k] < 20 for k in range(10, 20))
+    own = np.ones((1, T.VOTERS), np.int64)
+    own[0, 10:20] = 2
+    assert model.posterior(own)[0] < 0.01  # fifteen voters against one, ten times
+    got = model.posterior(T.unpacked(np.array([c for c, _ in cells]))) >= 0.5
+    assert (got == np.array(truth)).mean() > 0.98
+
+
+def test_clashing_columns_pass_through(spark, corpus):
+    docs = documents(spark, corpus[0][:5]).withColumn("toxicity", F.lit(7)).withColumn("a.b", F.lit(8))
+    scored = T.with_scores(docs, T.Classifier(T.Lexicon([], 0), np.zeros(3 * T.VOTERS + 1)))
+    assert scored.columns == [*docs.columns, "toxicity_"] == [*docs.columns, T.score_column(docs)]
+    assert {(r["toxicity"], r["a.b"], r["toxicity_"]) for r in scored.collect()} == {(7, 8, 0.5)}
 
 
 def test_without_labels_nothing_is_toxic(spark, corpus):
