@@ -25,6 +25,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def map_whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, also those with dots."""
+    given, got = df.columns, [f.name for f in schema]
+    plain = [f"_{k}" for k in range(max(len(given), len(got)))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(given) for b in batches):
+            yield batch.rename_columns(plain[: len(got)])
+
+    fields = T.StructType([T.StructField(name, f.dataType) for name, f in zip(plain, schema, strict=False)])
+    return df.toDF(*plain[: len(given)]).mapInArrow(renamed, fields).toDF(*got)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Helper], schema: str | T.StructType) -> DataFrame:
     """Run ``make()`` once in each task and its result on slices of the batches of ``df``.
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sensorloom.llm.batches import as_batch, free_name, lengths_to_offsets, map_batches, slices
+from sensorloom.llm.batches import as_batch, free_name, lengths_to_offsets, map_batches, map_whole_rows, slices
 from sensorloom.llm.fm_index import FMIndex
 from sensorloom.llm.words import WordHasher, word_groups
 from sensorloom.plans.scratch import written
@@ -162,7 +162,7 @@ def _with_leaks(docs: DataFrame, name: str, of: Callable[[], Callable[[pa.Record
             own = [{"n_words": n, "spans": [{"first": a, "end": b} for a, b in spans], "items": sorted(items)} for n, spans, items in values(batch)]
             yield as_batch({c: batch.column(k) for k, c in enumerate(batch.schema.names)} | {name: own}, arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_whole_rows(docs, run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -249,7 +249,7 @@ def remove_spans(leaks: DataFrame, column: str) -> DataFrame:
                     keep[k] = sum(s["end"] - s["first"] for s in found["spans"]) < len(bounds)
             yield as_batch({c: out[c] for c in columns} | {"text": texts}, arrow).filter(pa.array(keep))
 
-    return leaks.mapInArrow(run, schema)
+    return map_whole_rows(leaks, run, schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

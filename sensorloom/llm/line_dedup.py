@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.batches import as_batch, free_name, id_and_text, map_batches, slices
+from sensorloom.llm.batches import as_batch, free_name, id_and_text, map_batches, map_whole_rows, slices
 from sensorloom.plans.scratch import written
 
 #: Hashes with more than this share, 1 / HEAVY, of all lines are split.
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
                 counts.append({"n_lines": before, "n_dropped": before - len(lines)})
             yield as_batch(out | {"text": texts, name: counts}, arrow)
 
-    return joined.mapInArrow(run, schema)
+    return map_whole_rows(joined, run, schema)
 
 
 def sha256(text: str | None) -> str:

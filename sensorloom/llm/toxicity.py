@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sensorloom.llm.batches import as_batch, free_name, id_and_text, map_batches, slices, summed
+from sensorloom.llm.batches import as_batch, free_name, id_and_text, map_batches, map_whole_rows, slices, summed
 from sensorloom.llm.folds import bounded_sample, held_out, learnable
 from sensorloom.llm.words import BASE, FOLD, WordHasher, mixed, word_groups, words
 from sensorloom.plans.scratch import written
@@ -476,7 +476,7 @@ def with_scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
             own = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             yield as_batch(own | {name: 1 / (1 + np.exp(-np.clip(g, -500, 500)))}, arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_whole_rows(docs, run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
