@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import dropped, written
 
 _COO = ("src_idx", "dst_idx", "weight")
 
@@ -44,8 +44,11 @@ def _by_degree(matrix: DataFrame, power: Column, left: bool, right: bool) -> Dat
     return matrix
 
 
-def shift_operator(adjacency: DataFrame, sensors: DataFrame, kind: str = "sym_norm_adj", force_symmetric: bool = False) -> DataFrame:
-    """One of the eight {sym, rw}_{norm, renorm}_{adj, lap}: renorm adds the identity first, lap is identity minus adj."""
+def shift_operator(adjacency: DataFrame, sensors: DataFrame, kind: str = "sym_norm_adj", force_symmetric: bool = True) -> DataFrame:
+    """One of the eight {sym, rw}_{norm, renorm}_{adj, lap}: renorm adds the identity first, lap is identity minus adj.
+
+    The adjacency is made symmetric first, unless that is not wanted.
+    """
     side, norm, form = kind.split("_")
     if side not in ("sym", "rw") or norm not in ("norm", "renorm") or form not in ("adj", "lap"):
         raise ValueError(f"unknown operator {kind}")
@@ -66,21 +69,27 @@ def normalized_laplacian(adjacency: DataFrame, sensors: DataFrame) -> DataFrame:
     return added(identity(sensors), scaled(transposed(_by_degree(adjacency.select(*_COO), F.pow("_sum", F.lit(-0.5)), True, True)), -1.0))
 
 
-def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 10_000, tolerance: float = 1e-9) -> float:
-    """The largest singular value, by power iteration on the matrix and its transpose; raises if it hasn't settled after ``rounds``."""
+def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 2500, tolerance: float = 1e-9, at_once: int = 4) -> float:
+    """The largest singular value, by power iteration on the matrix and its transpose; raises if it hasn't settled after ``rounds``.
+
+    A round is ``at_once`` products with both, in one plan; the vector is written once a round.
+    """
     matrix = written(matrix.select(*_COO))
     # A start that no symmetry of the graph makes orthogonal to the leading vector.
     v = sensors.select("idx", (1 + F.pmod(F.xxhash64("idx"), F.lit(1000)) / 1000).alias("x"))
-    value = 0.0
+    value, former = 0.0, None
     for k in range(rounds):
-        mv = matrix.join(v, matrix["dst_idx"] == v["idx"]).groupBy("src_idx").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        back = matrix.join(mv, "src_idx").groupBy(F.col("dst_idx").alias("idx")).agg(F.sum(F.col("weight") * F.col("y")).alias("x"))
-        back = written(back)
-        size = back.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        if not size:
+        for _ in range(at_once):
+            last = v
+            mv = matrix.join(v, matrix["dst_idx"] == v["idx"]).groupBy("src_idx").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+            v = matrix.join(mv, "src_idx").groupBy(F.col("dst_idx").alias("idx")).agg(F.sum(F.col("weight") * F.col("y")).alias("x"))
+        both = written(last.withColumnRenamed("x", "before").join(v, "idx", "full"))
+        before, size = both.agg(F.sqrt(F.sum(F.col("before") * F.col("before"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
+        if not size or not before:
             return 0.0
-        v = back.select("idx", (F.col("x") / size).alias("x"))
-        new = size**0.5
+        dropped(former)
+        former, v = both, both.where("x is not null").select("idx", (F.col("x") / size).alias("x"))
+        new = (size / before) ** 0.5
         if k and abs(new - value) <= tolerance * new:
             return new
         value = new

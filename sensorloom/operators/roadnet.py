@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.plans.components import connected_components
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import dropped, written
 
 #: Turn codes that allow and that forbid a movement.
 ALLOWED, FORBIDDEN = ("001", "011", "012"), ("002", "003", "101", "102", "103")
@@ -61,31 +61,40 @@ def apply_turns(edges: DataFrame, turns: DataFrame, links: DataFrame) -> DataFra
     return edges.join(last, ["src", "dst"], "left_anti").unionByName(added)
 
 
-def bounded_distances(edges: DataFrame, targets: DataFrame, limit: float, links: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def bounded_distances(edges: DataFrame, targets: DataFrame, limit: float, links: DataFrame | None = None, doublings: int = 2, max_rounds: int = 10_000) -> DataFrame:
     """``from, to, distance``: shortest paths of at most ``limit`` over all links between ``targets(sensor_id)``, each to itself at 0.
 
-    With ``links`` given, a target that is no link is an error. The frontier is relaxed round by round; a round
-    beyond ``max_rounds`` raises.
+    With ``links`` given, a target that is no link is an error. Edges are first joined to steps of up to ``2 ** doublings`` edges, which takes
+    that many times fewer rounds. The frontier is relaxed round by round: pairs it improves are appended to those found before, and the
+    least of a pair's distances counts. A round beyond ``max_rounds`` raises.
     """
     if links is not None:
         unknown = targets.join(links.select(F.col("LINK_ID").alias("sensor_id")), "sensor_id", "left_anti").limit(5).collect()
         if unknown:
             raise ValueError(f"targets that are no links: {', '.join(r['sensor_id'] for r in unknown)}")
-    steps = written(edges.groupBy("src", "dst").agg(F.min("length").alias("length")))
+    steps = edges.groupBy("src", "dst").agg(F.min("length").alias("length"))
+    for _ in range(doublings):
+        former = steps = written(steps)
+        ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("length").alias("_more"))
+        longer = steps.join(ahead, "dst").select("src", F.col("_to").alias("dst"), (F.col("length") + F.col("_more")).alias("length")).where((F.col("length") <= limit) & (F.col("src") != F.col("dst")))
+        steps = written(steps.union(longer).groupBy("src", "dst").agg(F.min("length").alias("length")))
+        dropped(former)
+    steps = steps if doublings else written(steps)
     best = written(targets.select(F.col("sensor_id").alias("source"), F.col("sensor_id").alias("node"), F.lit(0.0).alias("distance")).distinct())
     frontier = best
     for _ in range(max_rounds):
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
         reached = reached.where(F.col("distance") <= limit).groupBy("source", "node").agg(F.min("distance").alias("distance"))
-        old = best.select("source", "node", F.col("distance").alias("_old"))
+        old = best.groupBy("source", "node").agg(F.min("distance").alias("_old"))
         frontier = written(reached.join(old, ["source", "node"], "left").where(F.col("_old").isNull() | (F.col("distance") < F.col("_old"))).drop("_old"))
         if frontier.isEmpty():
             break
-        best = written(best.union(frontier).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        best = best.union(frontier)
     else:
         raise RuntimeError(f"paths still improve after {max_rounds} rounds")
     ends = targets.select(F.col("sensor_id").alias("node"))
-    return best.join(ends, "node", "left_semi").select(F.col("source").alias("from"), F.col("node").alias("to"), "distance")
+    best = best.join(ends, "node", "left_semi").groupBy("source", "node").agg(F.min("distance").alias("distance"))
+    return best.select(F.col("source").alias("from"), F.col("node").alias("to"), "distance")
 
 
 def gaussian_adjacency(distances: DataFrame, sensors: DataFrame, least: float = 0.1) -> DataFrame:

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import dropped, written
 
 
-#: So many edges at most are finished by one task at once.
+#: So many edges at most are finished by one task at once: a few megabytes there, whatever the graph's size was.
 FEW_EDGES = 20_000
 
 
@@ -55,11 +55,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         merged.append(to)
         a, b = to.select(F.col("node").alias("src"), F.col("into").alias("a")), to.select(F.col("node").alias("dst"), F.col("into").alias("b"))
         ends = left.join(a, "src").join(b, "dst").where(F.col("a") != F.col("b"))
-        left = written(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        former, left = left, written(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        dropped(former)
     found = names.select("node", F.col("node").alias("at"))
     for to in merged:
         found = found.join(to.select(F.col("node").alias("at"), "into"), "at", "left").select("node", F.coalesce("into", "at").alias("at"))
     if len(merged) > 1:
         found = written(found)
+        dropped(*merged)
+    dropped(left)
     least = found.groupBy("at").agg(F.min("node").alias("component"))
     return found.join(least, "at").select("node", "component")

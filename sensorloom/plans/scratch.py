@@ -17,9 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -34,11 +36,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` has returned and that nothing reads any more, such as those of a loop's former rounds."""
+    for table in tables:
+        files = {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else set()
+        for k, (spark, path) in reversed(list(enumerate(_written))):
+            if any(f.endswith(path.rsplit("/", 1)[1]) for f in files):
+                _delete(spark, path)
+                del _written[k]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete the tables that ``written`` has left; what was derived from them can't be read afterwards."""
     for _, path in _written:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     _written.clear()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,15 +105,24 @@ def g11_largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.largest_components(I.adjacency(spark, sf_dir), s, s.select("sensor_id"), 2)
 
 
-@query(None)
+@query(f"""with {I.DISTANCES}, {I.TRAFFIC}, ids as (select distinct sensor_id from traffic where sensor_id in (select LINK_ID from links)),
+own as (select * from distances where "from" in (from ids) and "to" in (from ids)),
+adj as (select 1 from own, (select stddev_pop(distance) s from own) where "from" <> "to" and exp(-(distance / s) * (distance / s)) >= 0.1)
+select 'sensors' part, (select count(*) from ids) n_rows, (select sum(hash_of) from (select cast(right(sensor_id, 7) as bigint) hash_of from ids)) id_sum, cast(0 as double) total
+union all select 'metadata', count(*), sum(cast(right(sensor_id, 7) as bigint)), 0 from ids
+union all select 'locations', count(*), sum(cast(right(sensor_id, 7) as bigint)), 0 from ids
+union all select 'distances', count(*), sum(cast(right("from", 7) as bigint)), sum(distance) from own
+union all select 'adjacency', (select count(*) from ids) + (select count(*) from adj), null, 0""")
 def g12_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the tables made for the traffic sensors."""
-    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.turned_edges(spark, sf_dir), I.WHOLE_LIMIT)
-    counts = [t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("part"), "n_rows") for name, t in parts.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out
+    """Rows, sums of ids and of distances of the tables made for the traffic sensors."""
+    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.turned_edges(spark, sf_dir), I.LIMIT)
+    ids = {"sensors": "sensor_id", "metadata": "LINK_ID", "locations": "sensor_id", "distances": "from"}
+    counts = []
+    for name, table in parts.items():
+        number = F.sum(F.substring(ids[name], -7, 7).cast("long")) if name in ids else F.lit(None).cast("long")
+        total = F.sum("distance") if name == "distances" else F.lit(0.0)
+        counts.append(table.agg(F.count(F.lit(1)).alias("n_rows"), number.alias("id_sum"), total.alias("total")).select(F.lit(name).alias("part"), "n_rows", "id_sum", "total"))
+    return functools.reduce(DataFrame.union, counts)
 
 
 @query(f'with {I.DISTANCES} select "from" sensor_id from distances union select "to" from distances')
@@ -138,7 +149,7 @@ def _shift_sql(kind: str) -> str:
 for _kind in [f"{s}_{n}_{f}" for s in ("sym", "rw") for n in ("norm", "renorm") for f in ("adj", "lap")]:
 
     def _shift(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
-        return _coo(M.shift_operator(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), kind))
+        return _coo(M.shift_operator(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), kind, False))
 
     _shift.__name__, _shift.__doc__ = f"g13_{_kind}", f"The graph shift operator {_kind}."
     query(_shift_sql(_kind))(_shift)
@@ -151,10 +162,25 @@ def g13_symmetric_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coo(M.shift_operator(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), "sym_norm_adj", True))
 
 
-@query(None)
+def _norm_sql(matrix: str, squarings: int = 18) -> str:
+    """``norm(v)``: the largest singular value of ``matrix(i, j, w)``, by squaring its Gram matrix until one vector is left."""
+    steps = "".join(
+        f"q{k + 1} as materialized (select a.i, b.j, sum(a.w * b.w) / (select sum(w * w) from q{k}) w from q{k} a join q{k} b on a.j = b.i group by 1, 2 having abs(sum(a.w * b.w)) > 1e-200), "
+        for k in range(squarings)
+    )
+    return f"""q0 as materialized (select a.j i, b.j j, sum(a.w * b.w) w from {matrix} a join {matrix} b on a.i = b.i group by 1, 2), {steps}
+norm as materialized (select sqrt((select sum(a.w * b.w) from q0 a join q{squarings} b on a.i = b.i and a.j = b.j) / (select sum(w) from q{squarings} where i = j)) v)"""
+
+
+_LAP = "select src_idx i, dst_idx j, weight w from adjacency"
+
+
+@query(f"""with {_SENSORS}, a0 as ({_LAP}), deg as (select i k, sum(w) d from a0 group by 1),
+op as materialized (select i, j, sum(w) w from (select i, j, -w * r.d ** -0.5 * q.d ** -0.5 w from a0 join deg r on r.k = i join deg q on q.k = j union all select idx, idx, 1.0 from sensors) group by 1, 2),
+{_norm_sql("op")}, out as (select i, j, w * case when v >= 2 then 1 else 2 / v end w from op, norm union all select idx, idx, -1.0 from sensors) {_COO}""")
 def g14_chebyshev(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = I.sensors(spark, sf_dir)
-    return _coo(M.chebyshev_rescaled(M.shift_operator(I.adjacency(spark, sf_dir, I.WHOLE_LIMIT), s, "sym_norm_lap"), s))
+    return _coo(M.chebyshev_rescaled(M.shift_operator(I.adjacency(spark, sf_dir), s, "sym_norm_lap", False), s))
 
 
 for _reverse in (False, True):
@@ -180,9 +206,11 @@ def g16_scaled_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coo(M.scaled_laplacian(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), 1.5))
 
 
-@query(None)
+@query(f"""with {_SENSORS}, a2 as (select src_idx i, dst_idx j, weight w from adjacency union all select dst_idx, src_idx, weight from adjacency),
+a0 as (select i, j, max(w) w from a2 group by 1, 2), {_LAPLACE}, op as materialized (select i, j, sum(w) w from lap group by 1, 2),
+{_norm_sql("op")}, out as (select i, j, 2 / v * w w from op, norm union all select idx, idx, -1.0 from sensors) {_COO}""")
 def g16_largest_eigenvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coo(M.scaled_laplacian(I.adjacency(spark, sf_dir, I.WHOLE_LIMIT), I.sensors(spark, sf_dir), None))
+    return _coo(M.scaled_laplacian(I.adjacency(spark, sf_dir), I.sensors(spark, sf_dir), None))
 
 
 @query(f"""with {I.ADJACENCY}, und as (select src_idx a, dst_idx b from adjacency union select dst_idx, src_idx from adjacency),

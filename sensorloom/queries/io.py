@@ -86,13 +86,13 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PLACES)
 def s6_locations_with_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _places(spark, sf_dir).select(F.col("sensor_id").alias("id"), F.col("latitude").alias("y"), F.col("longitude").alias("x"), F.lit("other").alias("note")).coalesce(1).write.option("header", True).csv(path := _folder(spark))
+    _places(spark, sf_dir).select(F.col("sensor_id").alias("id"), F.col("latitude").alias("y"), F.col("longitude").alias("x"), F.lit("other").alias("note")).write.option("header", True).csv(path := _folder(spark))
     return T.read_locations(spark, path, "id", "y", "x")
 
 
 @query(_PLACES)
 def s6_locations_without_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _places(spark, sf_dir).select(F.monotonically_increasing_id().alias("n"), "sensor_id", "latitude", "longitude").coalesce(1).write.csv(path := _folder(spark))
+    _places(spark, sf_dir).select("sensor_id", "latitude", "longitude").write.csv(path := _folder(spark))
     return T.read_locations(spark, path)
 
 
@@ -114,21 +114,24 @@ def s9_metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_metadata(spark, path)
 
 
-@query(f"with {I.GRID} select count(distinct ts) n_times, 4 n_files, true in_order from grid")
+@query(f"""with {I.GRID}, hours as (select ts, row_number() over (order by ts) - 1 n from (select distinct ts from grid)), cells as (select ts, count(value) n_values, sum(value) total from grid group by ts)
+select 'part-' || lpad(cast(n // 200 as varchar), 5, '0') || '.csv' file, count(*) n_rows, min(ts) first_ts, max(ts) last_ts, sum(n_values) n_values, round(sum(total), 3) total from hours join cells using (ts) group by 1""")
 def s10_export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide files in the order of time, none longer than 200 rows."""
+    """The wide files of at most 200 rows that are found, with what they hold."""
     T.export_wide(I.grid(spark, sf_dir), path := _folder(spark), 200)
-    files = spark.read.option("header", True).csv(path).select(F.input_file_name().alias("file"), F.to_timestamp("ts").alias("ts"))
-    parts = files.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    both = parts.alias("a").join(parts.alias("b"), (F.col("a.file") < F.col("b.file")) & (F.col("a.hi") >= F.col("b.lo")), "left")
-    found = both.groupBy("a.file").agg(F.first("a.n").alias("n"), F.count("b.file").alias("late"))
-    return found.agg(F.sum("n").alias("n_times"), F.when(F.max("n") <= 200, F.greatest(F.lit(4), F.ceil(F.sum("n") / 200))).otherwise(-1).cast("int").alias("n_files"), (F.sum("late") == 0).alias("in_order"))
+    files = spark.read.option("header", True).csv(path)
+    sensors = [F.col(c).cast("double") for c in files.columns if c != "ts"]
+    values = F.filter(F.array(*sensors), lambda v: v.isNotNull())
+    rows = files.select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file"), F.to_timestamp_ntz("ts").alias("ts"), F.size(values).alias("n"), F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("sum"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("n").alias("n_values"), F.round(F.sum("sum"), 3).alias("total"))
 
 
-@query(f"with {I.TRAFFIC}, {I.LINKS} select LINK_ID, F_NODE, T_NODE, LANES from links where LINK_ID in (select sensor_id from traffic)")
+@query(f"""with {I.TRAFFIC}, {I.LINKS} select LINK_ID, F_NODE, T_NODE, LANES,
+  'LINESTRING (' || cast(x as decimal(12, 1)) || ' ' || cast(y as decimal(12, 1)) || ', ' || cast(x + a as decimal(12, 1)) || ' ' || cast(y as decimal(12, 1)) || ', ' || cast(x + a as decimal(12, 1)) || ' ' || cast(y + c as decimal(12, 1)) || ')' wkt
+  from links where LINK_ID in (select sensor_id from traffic)""")
 def s11_road_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     T.links_with_traffic(I.links(spark, sf_dir), I.traffic_sensors(spark, sf_dir)).write.parquet(path := _folder(spark))
-    return spark.read.parquet(path).select("LINK_ID", "F_NODE", "T_NODE", "LANES")
+    return spark.read.parquet(path).select("LINK_ID", "F_NODE", "T_NODE", "LANES", "wkt")
 
 
 @query(f"with {I.TURNED} select 'node' part, count(distinct T_NODE) n_rows from links where left(T_NODE, 3) = '161' union all select 'link', count(*) from links where left(LINK_ID, 3) = '161' or left(F_NODE, 3) = '161' or left(T_NODE, 3) = '161' union all select 'turn', count(*) from turns where left(NODE_ID, 3) = '161' or left(ST_LINK, 3) = '161' or left(ED_LINK, 3) = '161'")

@@ -45,11 +45,28 @@ def _dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(gaussian_adjacency(pairs, s, 0.01))
 
 
-@query(None)
+#: The graph of ``_dense_adjacency``; ``nearest``: each sensor's heaviest neighbours.
+_DENSE = """tids as (select sensor_id, row_number() over (order by sensor_id) - 1 idx, count(*) over () n from (select distinct sensor_id from traffic)),
+ring as (
+  select a.sensor_id f, b.sensor_id t, b.idx t_idx, cast(min(abs(k)) as double) distance
+  from (select *, unnest(range(-12, 13)) k from tids) a join tids b on ((a.idx + a.k) % a.n + a.n) % a.n = b.idx group by 1, 2, 3),
+ring_spread as (select stddev_pop(distance) s from ring),
+ring_weights as (select f, t, t_idx, exp(-(distance / s) * (distance / s)) w from ring, ring_spread where f <> t and exp(-(distance / s) * (distance / s)) >= 0.01),
+nearest as (select f target, t sensor_id, row_number() over (partition by f order by round(w, 12) desc, t_idx) as rank from ring_weights)"""
+
+
+@query(f"""with {_AVERAGE}, {_DENSE}, gaps as (select sensor_id target from grid group by 1 having count(*) > count(value)),
+cells as (
+  select target, 0 as rank, ts, value from gaps join grid on sensor_id = target union all
+  select nearest.target, rank, ts, value from nearest join gaps using (target) join grid using (sensor_id) where rank <= 10 union all
+  select target, 99, ts, average.value from gaps cross join average)
+select target, ts, row_number() over (partition by target, ts order by rank) - 1 as position, round(value, 6) as value from cells""")
 def p3_neighbour_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of each sensor and hour, a row for each; null where missing."""
     rows = I.grid(spark, sf_dir)
-    s = N.neighbour_slices(rows, _dense_adjacency(spark, sf_dir), N.network_average(rows), 4)
-    return s.withColumn("features", F.transform("features", lambda v: F.round(v, 6)))
+    s = N.neighbour_slices(rows, _dense_adjacency(spark, sf_dir), N.network_average(rows))
+    features = s.select("target", "ts", F.posexplode("features").alias("position", "value"))
+    return features.withColumn("value", F.when(~F.isnan("value"), F.round("value", 6)))
 
 
 @query(None)
