@@ -43,17 +43,23 @@ def valid_starts(masked: DataFrame, offsets: list[int], span: int) -> DataFrame:
     return uses.where((F.col("start") >= 0) & (F.col("start") + span - 1 <= last)).groupBy("start").agg(F.sum("nulls").alias("nulls"), F.count(F.lit(1)).alias("n")).where((F.col("nulls") == 0) & (F.col("n") == len(offsets))).select("start")
 
 
-def _windows(masked: DataFrame, starts: DataFrame | None, inputs: list[int], outputs: list[int], span: int) -> DataFrame:
-    """``start, sensor_id, x, y, y_missing``: each cell goes to the windows that it serves, then windows are put together."""
-    rows = indexed(masked)
+def _windows(masked: DataFrame, starts: DataFrame | None, n_in: int, outputs: list[int], span: int) -> DataFrame:
+    """``start, sensor_id, x, y, y_missing`` of a regular grid: windows over each sensor's series, kept where all of ``span`` steps exist.
+
+    The table is shuffled once, by sensor; ``starts`` has a row for each hour at most.
+    """
+    rows = indexed(masked).withColumnRenamed("t_idx", "start")
+    ahead = Window.partitionBy("sensor_id").orderBy("start").rangeBetween(0, span - 1)
     last = masked.agg(F.max("ts").alias("hi"), F.min("ts").alias("lo"))
     final = last.select(F.datediff("hi", "lo") * 24 + F.hour("hi") - F.hour("lo")).scalar()
-    uses = rows.select("sensor_id", "t_idx", "value", "is_missing", F.explode(F.array(*map(F.lit, sorted({*inputs, *outputs})))).alias("k")).withColumn("start", F.col("t_idx") - F.col("k"))
-    uses = uses.where((F.col("start") >= 0) & (F.col("start") + span - 1 <= final))
+    cells = rows.select("sensor_id", "start", F.collect_list(F.struct((F.col("start")).alias("at"), "value", "is_missing")).over(ahead).alias("cells"))
+    cells = cells.where(F.col("start") + span - 1 <= final)
     if starts is not None:
-        uses = uses.join(starts, "start", "left_semi")
-    part = lambda keep, field: F.transform(F.array_sort(F.collect_list(F.when(F.col("k").isin(keep), F.struct("k", F.col(field).alias("v"))))), lambda s: s["v"])
-    return uses.groupBy("start", "sensor_id").agg(part(inputs, "value").alias("x"), part(outputs, "value").alias("y"), part(outputs, "is_missing").alias("y_missing"))
+        cells = cells.join(F.broadcast(starts), "start", "left_semi")
+    k = lambda c: c["at"] - F.col("start")
+    later = F.filter("cells", lambda c: k(c).isin(outputs))
+    x = F.transform(F.filter("cells", lambda c: k(c) < n_in), lambda c: c["value"])
+    return cells.select("start", "sensor_id", x.alias("x"), F.transform(later, lambda c: c["value"]).alias("y"), F.transform(later, lambda c: c["is_missing"]).alias("y_missing"))
 
 
 def network_windows(masked: DataFrame, in_steps: int = 24, out_steps: int = 1) -> DataFrame:
@@ -61,14 +67,14 @@ def network_windows(masked: DataFrame, in_steps: int = 24, out_steps: int = 1) -
     span = in_steps + out_steps
     starts = valid_starts(masked, list(range(span)), span)
     _require(starts.limit(1), "no window without missing values")
-    return _windows(masked, starts, list(range(in_steps)), list(range(in_steps, span)), span)
+    return _windows(masked, starts, in_steps, list(range(in_steps, span)), span)
 
 
 def single_step_windows(masked: DataFrame, n_his: int = 24, n_pred: int = 1) -> DataFrame:
     """As ``network_windows``, but only the last of ``n_pred`` steps is the target, and NULLs between don't matter."""
     span = n_his + n_pred
     starts = valid_starts(masked, [*range(n_his), span - 1], span)
-    return _windows(masked, starts, list(range(n_his)), [span - 1], span)
+    return _windows(masked, starts, n_his, [span - 1], span)
 
 
 def retention(masked: DataFrame, n_his: int = 24, n_pred: int = 1) -> DataFrame:
@@ -82,7 +88,7 @@ def retention(masked: DataFrame, n_his: int = 24, n_pred: int = 1) -> DataFrame:
 def all_windows(masked: DataFrame, seq_len: int = 24, horizon: int = 1) -> DataFrame:
     """Every window, NULLs and all."""
     span = seq_len + horizon
-    return _windows(masked, None, list(range(seq_len)), list(range(seq_len, span)), span)
+    return _windows(masked, None, seq_len, list(range(seq_len, span)), span)
 
 
 def time_of_day(ts: str = "ts") -> Column:
