@@ -47,11 +47,29 @@ def step_hours(traffic: DataFrame) -> int:
 
 
 def regular_grid(traffic: DataFrame, step: int = 1) -> DataFrame:
-    """Every ``step`` hours between the table's first and last time, for every sensor; off-grid rows go, absent hours are NULL."""
+    """Every ``step`` hours between the table's first and last time, for every sensor; off-grid rows go, absent hours are NULL.
+
+    Each row brings the absent hours up to the sensor's next one, its first row also those before. So the table is shuffled once, by sensor, and
+    what follows by sensor needs no other shuffle.
+    """
     bounds = traffic.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    hours = F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar(), F.make_dt_interval(F.lit(0), F.lit(step)))
-    spine = traffic.select("sensor_id").distinct().select("sensor_id", F.explode(hours).alias("ts"))
-    return spine.join(traffic, ["sensor_id", "ts"], "left")
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    jump, since = F.make_dt_interval(F.lit(0), F.lit(step)), hours_between(lo, F.col("ts"))
+    on_grid = (F.pmod(since, F.lit(step)) == 0) & (lo + F.make_dt_interval(F.lit(0), since.cast("int")) == F.col("ts"))
+    sensor = Window.partitionBy("sensor_id")
+    series = sensor.orderBy(F.col("_at").asc_nulls_first())
+    rows = traffic.withColumn("_at", F.when(on_grid, F.col("ts")))
+    rows = rows.withColumns({"_before": F.lag("_at").over(series), "_next": F.lead("_at").over(series), "_n": F.row_number().over(series)}).withColumn("_last", F.max("_at").over(sensor))
+    none = F.array().cast("array<timestamp_ntz>")
+    hours = lambda a, b: F.when(a <= b, F.sequence(a, b, jump)).otherwise(none)
+    at = F.col("_at")
+    lead_in = F.when(F.col("_before").isNull(), hours(lo, at - jump)).otherwise(none)
+    whole = F.concat(lead_in, F.array(at), hours(at + jump, F.coalesce(F.col("_next") - jump, hi)))
+    # A sensor that only has off-grid rows gets all hours from its first row.
+    spread = F.when(at.isNotNull(), whole).when((F.col("_n") == 1) & F.col("_last").isNull(), hours(lo, hi)).otherwise(none)
+    cells = rows.withColumn("_ts", F.explode(spread))
+    kept = [F.when(F.col("_ts") == at, F.col(c)).alias(c) for c in traffic.columns if c not in ("sensor_id", "ts")]
+    return cells.select("sensor_id", F.col("_ts").alias("ts"), *kept)
 
 
 def indexed(traffic: DataFrame) -> DataFrame:

@@ -84,3 +84,20 @@ def test_mask_lacks_are_false(spark):
 def test_train_validation_counts_time_steps(spark):
     train, rest = G.train_validation(frame(spark, a=range(10), b=range(10)))
     assert (train.count(), rest.count()) == (16, 4)
+
+
+def test_grid_of_off_grid_repeated_and_short_series(spark):
+    """Against a plain join of all hours: off-grid rows go, but their sensor stays; repeated hours stay."""
+
+
+    hour = lambda h, m=0: T0 + dt.timedelta(hours=h, minutes=m)
+    rows = [("a", hour(0), 1.0), ("a", hour(6), 2.0), ("b", hour(3, 30), 3.0), ("c", hour(2), 4.0), ("c", hour(2), 5.0), ("c", hour(3), 6.0), ("c", hour(1, 15), 7.0), ("d", hour(6), None)]
+    t = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, value double")
+    for step in (1, 2, 3):
+        want = []
+        for s in "abcd":
+            for h in range(0, 7, step):
+                own = [v for i, ts, v in rows if i == s and ts == hour(h)]
+                want += [(s, hour(h), v) for v in own or [None]]
+        assert sorted(map(tuple, G.regular_grid(t, step).collect()), key=repr) == sorted(want, key=repr)
+    assert G.regular_grid(t.limit(0)).count() == 0

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from test_grid import frame, values
 
@@ -29,11 +31,28 @@ def test_ids_keep_order_and_distances_keep_zeros(spark, tmp_path):
 
 def test_locations_with_and_without_header(spark, tmp_path):
     (tmp_path / "h.csv").write_text("lon,id,lat,other\n127.5,007,37.5,x\n")
-    (tmp_path / "n.csv").write_text("0,12,37.5,127.5\n")
+    (tmp_path / "n.csv").write_text("12,37.5,127.5\n")
     assert tuple(T.read_locations(spark, f"{tmp_path}/h.csv", "id", "lat", "lon").first()) == ("007", 37.5, 127.5)
     assert tuple(T.read_locations(spark, f"{tmp_path}/n.csv").first()) == ("12", 37.5, 127.5)
 
 
+def test_export_has_exactly_the_files_it_takes(spark, tmp_path):
+    t = frame(spark, a=[*range(50)], b=[None, *range(49)])
+    for limit, counts in ((20, [20, 20, 10]), (25, [25, 25]), (50, [50]), (1000, [50])):
+        T.export_wide(t, path := f"{tmp_path}/w{limit}", limit)
+        names = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
+        assert names == [f"part-{k:05d}.csv" for k in range(len(counts))]
+        texts = [open(f"{path}/{name}").read().splitlines() for name in names]
+        assert [len(x) - 1 for x in texts] == counts and {x[0] for x in texts} == {"ts,a,b"}
+        lines = [line for x in texts for line in x[1:]]
+        assert lines == sorted(lines)
+
+
+def test_wide_tables_of_many_sensors(spark):
+    wide = T.to_wide(frame(spark, **{f"s{k}": [k] for k in range(10_050)}).select("sensor_id", "ts", "value"))
+    assert len(wide.columns) == 10_051
+
+
 def test_payloads(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"day": "2024-01-01", "response": {"header": {"resultCode": "00"}, "body": {"items": [{"statDate": "2024-01-01", "linkID": "a", "hour00": 1.0}]}}}\n{"day": "2024-01-02", "response": {"header": {"resultCode": "03"}, "body": {"items": []}}}\n')
     p = P.read_payloads(spark, f"{tmp_path}/p.json")
