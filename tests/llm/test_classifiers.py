@@ -68,6 +68,20 @@ def test_class_prior_and_no_positives(spark, corpus):
     assert Q.scored(levels.limit(0), None).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_is_estimated(spark, share):
+    """Of 3,000 unlabelled texts a share is like the 400 positives, the rest is shouted and full of marks; no negative is known."""
+    rng = seeded(41)
+    good, bad = prose(rng, 100), " ".join(w.upper() + "!!" for w in prose(rng, 100).split())
+    cell = {kind: Q.cell_levels(documents(spark, [text])).first()["cell"] for kind, text in (("good", good), ("bad", bad))}
+    n_good = int(3000 * share)
+    cells = spark.createDataFrame([(cell["good"], float(n_good), 400.0), (cell["bad"], 3000.0 - n_good, 0.0)], "cell long, n double, n_positive double")
+    assert abs(Q.class_prior(cells) - share) < 0.1
+    w = Q.minimise(cells, Q.class_prior(cells))
+    score = {kind: float(Q.indicators(np.array([c]))[0] @ w) for kind, c in cell.items()}
+    assert score["good"] > 0 > score["bad"]
+
+
 def test_toxicity_on_held_out_rows(spark, corpus):
     texts, quality, toxic = corpus
     docs = documents(spark, texts)
