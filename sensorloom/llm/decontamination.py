@@ -35,6 +35,8 @@ from sensorloom.plans.scratch import written
 
 #: Bytes of benchmark text that one pass sends to the executors.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text of a shard, if it isn't one longer text.
+SHARD_BYTES = 1 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 LEAKS = "struct<n_words: bigint, spans: array<struct<first: bigint, end: bigint>>, items: array<string>>"
 
@@ -111,7 +113,7 @@ def occurrences(symbols: np.ndarray, block: Windows) -> tuple[np.ndarray, np.nda
 
 def covered(texts: list[str | None], block: Windows, hasher: WordHasher) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
     """For each text: its number of words, the spans of those that lie in windows, and the items of the windows."""
-    for _, hashes, offsets in word_groups(texts, hasher):
+    for _, hashes, offsets in word_groups(texts, hasher, SHARD_BYTES):
         counts = np.diff(offsets)
         # A break after each text keeps windows within it.
         symbols = np.ones(len(hashes) + len(counts), np.int64)

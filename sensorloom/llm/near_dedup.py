@@ -48,6 +48,10 @@ from sensorloom.llm.words import BASE, WordHasher, mixed, word_groups
 from sensorloom.plans.components import connected_components
 from sensorloom.plans.scratch import written
 
+#: Distinct words that a task counts before it sends them on.
+TABLE = 1 << 18
+
+
 @dataclass(frozen=True)
 class Settings:
     """``rare``: share of documents below which all words weigh alike. ``group_rows``, ``group_bytes``: what one task compares at once."""
@@ -104,9 +108,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for _, hashes, offsets in word_groups(batch.column(0).to_pylist(), hasher):
                     own = hashes ^ mixed(np.repeat(np.arange(1, len(offsets), dtype=np.uint64), np.diff(offsets)))
                     fresh.append(hashes[np.unique(own, return_index=True)[1]])
-            if sum(map(len, fresh)) > 1 << 20:
+            if sum(map(len, fresh)) > TABLE:
                 merge()
-                if len(words) > 1 << 20:  # what a task holds is bounded; the sums meet in the shuffle
+                if len(words) > TABLE:  # what a task holds is bounded; the sums meet in the shuffle
                     yield as_batch({"word": words.view(np.int64), "n": counts}, arrow)
                     words, counts = words[:0], counts[:0]
         merge()

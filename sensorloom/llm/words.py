@@ -14,7 +14,7 @@ import numpy as np
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BETWEEN = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 
 
@@ -66,13 +66,13 @@ class WordHasher:
         return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def word_groups(texts: list[str | None], hasher: WordHasher) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For groups of texts of about ``CHUNK`` bytes, or one longer: the first text's index, its words' hashes, and offsets of each text's words."""
+def word_groups(texts: list[str | None], hasher: WordHasher, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For groups of texts of about ``chunk`` bytes, or one longer: the first text's index, its words' hashes, and offsets of each text's words."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     first = 0
     while first < len(data):
         last, size = first, 0
-        while last < len(data) and (last == first or size + len(data[last]) < CHUNK):
+        while last < len(data) and (last == first or size + len(data[last]) < chunk):
             size += len(data[last]) + 1
             last += 1
         ends = np.cumsum([len(d) + 1 for d in data[first:last]])

@@ -1,16 +1,20 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
-from texts import documents, prose, changed, seeded
+from texts import changed, documents, prose, seeded
 
 from sensorloom.llm import near_dedup as N
-from sensorloom.llm.decontamination import words
 
 S = N.Settings()
 
 
+def words(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
 def weighted(texts):
     """Shingles of each text with their weights, in plain Python: runs of five words, their count times the words' mean weight."""
     own = [[w.decode() for w in words(t)] for t in texts]
