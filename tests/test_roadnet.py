@@ -105,11 +105,10 @@ def test_lengths_and_points(spark):
     assert R.region_filter(links(spark).withColumn("LINK_ID", F.concat(F.lit("161"), "LINK_ID")), ["161"], "LINK_ID").count() == 5
 
 
-def test_queries_without_sql_use_the_references_limit(spark, monkeypatch):
-    """g12, g14 and g16 with the largest eigenvalue; distances at 9000 against one Dijkstra for each sensor."""
+def test_distances_of_the_queries_against_dijkstra(spark):
+    """All graph queries follow paths of up to 9000; their distances against one Dijkstra for each sensor."""
     import heapq
 
-    from sensorloom.queries import graphs as Q
     from sensorloom.queries import inputs as I
 
     sf = "/root/testdata/sf0.01"
@@ -125,18 +124,10 @@ def test_queries_without_sql_use_the_references_limit(spark, monkeypatch):
                 for to, length in steps.get(node, []):
                     if d + length <= 9000:
                         heapq.heappush(heap, (d + length, to))
-    assert max(wanted.values()) > I.LIMIT
-    got = {(r["from"], r["to"]): r["distance"] for r in I.distances(spark, sf, I.WHOLE_LIMIT).collect()}
+    assert I.LIMIT == 9000 and max(wanted.values()) > 1500
+    got = {(r["from"], r["to"]): r["distance"] for r in I.distances(spark, sf).collect()}
     assert got.keys() == wanted.keys() and all(abs(got[k] - d) < 1e-6 for k, d in wanted.items())
 
-    limits, one = [], spark.createDataFrame([("a", "a", 0, 0, 1.0)], "src string, dst string, src_idx int, dst_idx int, weight double")
-    monkeypatch.setattr(Q, "make_graph", lambda sensors, links, edges, limit: limits.append(limit) or {"any": one})
-    monkeypatch.setattr(I, "adjacency", lambda spark, sf_dir, limit=I.LIMIT: limits.append(limit) or one)
-    monkeypatch.setattr(Q.M, "spectral_norm", lambda *a: 2.0)
-    for query in (Q.g12_graph_tables, Q.g14_chebyshev, Q.g16_largest_eigenvalue):
-        query(spark, sf)
-    assert limits == [9000] * 3
-
 
 def test_spectral_norm_that_has_not_settled_raises(spark):
     from sensorloom.operators.graphops import spectral_norm
