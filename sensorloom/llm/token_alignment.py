@@ -32,6 +32,8 @@ from sensorloom.plans.scratch import written
 
 #: At most so many pairs are looked up in every task.
 HEAVY = 20_000
+#: Bytes of text that are aligned together.
+TOGETHER = 3 << 19
 
 
 @dataclass(frozen=True)
@@ -128,7 +130,7 @@ def with_groups(docs: DataFrame, pair: TokenizerPair = TokenizerPair()) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, arrow = pair.load(), to_arrow_schema(schema)
         item = arrow[-1].type.value_type
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", TOGETHER):
             x = aligner.align(batch.column("text").to_pylist())
             sides = [pa.ListArray.from_arrays(pa.array(np.append(0, np.nonzero(last)[0] + 1), pa.int32()), pa.array(ids, pa.int32())) for ids, last in ((x.a, x.a_last), (x.b, x.b_last))]
             groups = pa.ListArray.from_arrays(pa.array(x.group_ends(), pa.int32()), pa.StructArray.from_arrays(sides, fields=list(item)))
@@ -156,7 +158,7 @@ def document_links(docs: DataFrame, pair: TokenizerPair = TokenizerPair()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, arrow = pair.load(), to_arrow_schema(schema)
         speller = _Speller(len(aligner.a_bytes), len(aligner.b_bytes))
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", TOGETHER):
             x = aligner.align(batch.column("text").to_pylist())
             n, ends = batch.num_rows, x.group_ends()
             rows = np.repeat(np.arange(n), np.diff(ends))
