@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.plans.scratch import dropped, written
+from sensorloom.plans.scratch import dropped, written, written_by
 
 _COO = ("src_idx", "dst_idx", "weight")
 
@@ -69,31 +70,63 @@ def normalized_laplacian(adjacency: DataFrame, sensors: DataFrame) -> DataFrame:
     return added(identity(sensors), scaled(transposed(_by_degree(adjacency.select(*_COO), F.pow("_sum", F.lit(-0.5)), True, True)), -1.0))
 
 
-def spectral_norm(matrix: DataFrame, sensors: DataFrame, rounds: int = 2500, tolerance: float = 1e-9, at_once: int = 4) -> float:
-    """The largest singular value, by power iteration on the matrix and its transpose; raises if it hasn't settled after ``rounds``.
+def _dots(rows: DataFrame, basis: Column, vector: Column, size: int) -> np.ndarray:
+    """The dot products of a vector with all vectors of a basis, whose values at each index are one array."""
+    apart = rows.select(F.posexplode(basis).alias("k", "q"), vector.alias("w"))
+    out = np.zeros(size)
+    for r in apart.groupBy("k").agg(F.sum(F.col("q") * F.col("w")).alias("dot")).collect():  # a row for each vector of the basis
+        out[r["k"]] = r["dot"]
+    return out
 
-    A round is ``at_once`` products with both, in one plan; the vector is written once a round.
+
+def spectral_norm(matrix: DataFrame, sensors: DataFrame, steps: int = 300, tolerance: float = 1e-10) -> float:
+    """The largest singular value, by Lanczos' recurrence on the transpose times the matrix; raises if it hasn't settled after ``steps``.
+
+    A step is one product with the matrix and one with its transpose; both are kept bucketed by what the vector is joined on. The new vector is made
+    orthogonal to all before it, twice. The driver has only the tridiagonal matrix of the recurrence: its largest eigenvalue is that of the product up to
+    the square of the last vector's share in it over the distance to the next eigenvalue, which the tolerance bounds.
     """
-    matrix = written(matrix.select(*_COO))
-    # A start that no symmetry of the graph makes orthogonal to the leading vector.
-    v = sensors.select("idx", (1 + F.pmod(F.xxhash64("idx"), F.lit(1000)) / 1000).alias("x"))
-    value, former = 0.0, None
-    for k in range(rounds):
-        for _ in range(at_once):
-            last = v
-            mv = matrix.join(v, matrix["dst_idx"] == v["idx"]).groupBy("src_idx").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-            v = matrix.join(mv, "src_idx").groupBy(F.col("dst_idx").alias("idx")).agg(F.sum(F.col("weight") * F.col("y")).alias("x"))
-        both = written(last.withColumnRenamed("x", "before").join(v, "idx", "full"))
-        before, size = both.agg(F.sqrt(F.sum(F.col("before") * F.col("before"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
-        if not size or not before:
-            return 0.0
-        dropped(former)
-        former, v = both, both.where("x is not null").select("idx", (F.col("x") / size).alias("x"))
-        new = (size / before) ** 0.5
-        if k and abs(new - value) <= tolerance * new:
-            return new
-        value = new
-    raise RuntimeError(f"the spectral norm still changes after {rounds} rounds")
+    matrix = matrix.select(*_COO)
+    by_dst, by_src = written_by(matrix, "dst_idx"), written_by(matrix, "src_idx")
+    start = sensors.select("idx", (1 + F.pmod(F.xxhash64("idx"), F.lit(1000)) / 1000).alias("w"))  # no symmetry of the graph makes it orthogonal to the leading vector
+    rows = written(start.select("idx", F.array().cast("array<double>").alias("basis"), "w"))
+    diagonal: list[float] = []
+    beside: list[float] = []
+    size = float(rows.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 0.0)
+    against = np.zeros(0)
+    try:
+        for k in range(steps):
+            if not size:
+                return 0.0
+            # The vector of the step before without its shares in the others, normed, joins the basis.
+            fresh = (F.col("w") - _share("basis", against)) / size
+            basis = rows.select("idx", F.array_append("basis", fresh).alias("basis"))
+            last = basis.select("idx", F.element_at("basis", -1).alias("x"))
+            y = by_dst.join(last, by_dst["dst_idx"] == last["idx"]).groupBy("src_idx").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+            w = by_src.join(y, "src_idx").groupBy(F.col("dst_idx").alias("idx")).agg(F.sum(F.col("weight") * F.col("y")).alias("w"))
+            former, rows = rows, written(basis.join(w, "idx", "left").select("idx", "basis", F.coalesce("w", F.lit(0.0)).alias("w")))
+            dropped(former)
+            once = _dots(rows, F.col("basis"), F.col("w"), k + 1)
+            left = F.col("w") - _share("basis", once)
+            twice = _dots(rows, F.array_append("basis", left), left, k + 2)
+            against = once + twice[:-1]
+            diagonal.append(against[-1])
+            size = max(0.0, twice[-1] - float(twice[:-1] @ twice[:-1])) ** 0.5
+            values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+            top, share = values[-1], size * abs(vectors[-1, -1])
+            apart = top - values[-2] if k else 0.0
+            if share <= 1e-13 * top or k and min(share, share**2 / max(apart, 1e-300)) <= tolerance * top:
+                return float(max(top, 0.0)) ** 0.5
+            beside.append(size)
+    finally:
+        dropped(rows, by_dst, by_src)
+    raise RuntimeError(f"the spectral norm still changes after {steps} steps")
+
+
+def _share(basis: str, factors: np.ndarray) -> Column:
+    """The sum of a basis' vectors times factors."""
+    by = F.lit([float(f) for f in factors]) if len(factors) else F.array().cast("array<double>")
+    return F.aggregate(F.zip_with(basis, by, lambda q, f: q * f), F.lit(0.0), lambda total, v: total + v)
 
 
 def chebyshev_rescaled(operator: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sensorloom.plans.components import connected_components
-from sensorloom.plans.scratch import dropped, written
+from sensorloom.plans.scratch import dropped, written, written_by
 
 #: Turn codes that allow and that forbid a movement.
 ALLOWED, FORBIDDEN = ("001", "011", "012"), ("002", "003", "101", "102", "103")
@@ -61,12 +63,14 @@ def apply_turns(edges: DataFrame, turns: DataFrame, links: DataFrame) -> DataFra
     return edges.join(last, ["src", "dst"], "left_anti").unionByName(added)
 
 
-def bounded_distances(edges: DataFrame, targets: DataFrame, limit: float, links: DataFrame | None = None, doublings: int = 2, max_rounds: int = 10_000) -> DataFrame:
+def bounded_distances(edges: DataFrame, targets: DataFrame, limit: float, links: DataFrame | None = None, width: float | None = None, doublings: int = 2, max_rounds: int = 10_000) -> DataFrame:
     """``from, to, distance``: shortest paths of at most ``limit`` over all links between ``targets(sensor_id)``, each to itself at 0.
 
-    With ``links`` given, a target that is no link is an error. Edges are first joined to steps of up to ``2 ** doublings`` edges, which takes
-    that many times fewer rounds. The frontier is relaxed round by round: pairs it improves are appended to those found before, and the
-    least of a pair's distances counts. A round beyond ``max_rounds`` raises.
+    With ``links`` given, a target that is no link is an error. Edges are first joined to steps of up to ``2 ** doublings`` edges, which takes that many
+    times fewer rounds. Distances settle by ranges of a ``width``, half the limit if none is given (delta-stepping): as long as pairs in the
+    lowest open range improve, those are led on by steps of at most the width; then the range is settled, never written or summed again, and its pairs are led on
+    by longer steps once. All pairs are kept bucketed by source and node, so each round deals out only what it has reached. A round beyond
+    ``max_rounds`` raises.
     """
     if links is not None:
         unknown = targets.join(links.select(F.col("LINK_ID").alias("sensor_id")), "sensor_id", "left_anti").limit(5).collect()
@@ -80,21 +84,54 @@ def bounded_distances(edges: DataFrame, targets: DataFrame, limit: float, links:
         steps = written(steps.union(longer).groupBy("src", "dst").agg(F.min("length").alias("length")))
         dropped(former)
     steps = steps if doublings else written(steps)
-    best = written(targets.select(F.col("sensor_id").alias("source"), F.col("sensor_id").alias("node"), F.lit(0.0).alias("distance")).distinct())
-    frontier = best
+    width = width or limit / 2 or 1.0
+    short, long = steps.where(F.col("length") <= width), steps.where(F.col("length") > width)
+    any_long = not long.isEmpty()
+
+    def reached(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        ahead = pairs.join(by, pairs["node"] == by["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
+        return ahead.where(F.col("distance") <= limit).groupBy("source", "node").agg(F.min("distance").alias("_new"))
+
+    def merged(new: DataFrame, stay_fresh: Column) -> tuple[DataFrame, float | None]:
+        """The open pairs after a round, and the least distance of those not led on yet."""
+        for done in settled:  # nearer already
+            new = new.join(done.select("source", "node"), ["source", "node"], "left_anti")
+        improved = F.coalesce(F.col("_new") < F.col("distance"), F.col("_new").isNotNull())
+        both = open_.join(new, ["source", "node"], "full")
+        pairs = both.select("source", "node", F.least("distance", "_new").alias("distance"), (improved | stay_fresh).alias("fresh"))
+        least = Observation()
+        table = written_by(pairs.observe(least, F.min(F.when(F.col("fresh"), F.col("distance"))).alias("nearest")), "source", "node", dealt=True)
+        return table, least.get["nearest"]
+
+    start = targets.select(F.col("sensor_id").alias("source"), F.col("sensor_id").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct()
+    tables = [written_by(start, "source", "node")]
+    open_, settled, high, nearest = tables[0], [], width, 0.0
     for _ in range(max_rounds):
-        reached = frontier.join(steps, frontier["node"] == steps["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        reached = reached.where(F.col("distance") <= limit).groupBy("source", "node").agg(F.min("distance").alias("distance"))
-        old = best.groupBy("source", "node").agg(F.min("distance").alias("_old"))
-        frontier = written(reached.join(old, ["source", "node"], "left").where(F.col("_old").isNull() | (F.col("distance") < F.col("_old"))).drop("_old"))
-        if frontier.isEmpty():
+        if nearest is not None and nearest < high:
+            now = F.col("fresh") & (F.col("distance") < high)
+            later = F.coalesce(F.col("fresh") & (F.col("distance") >= high), F.lit(False))
+            table, nearest = merged(reached(open_.where(now), short), later)
+            tables.append(table)
+            # A former table of this range has nothing that the new one hasn't.
+            if len(tables) > 1 and tables[-2] is open_:
+                dropped(tables.pop(-2))
+            open_ = tables[-1]
+            continue
+        range_ = open_.where(F.col("distance") < high)
+        open_ = open_.where(F.col("distance") >= high)
+        settled.append(range_)
+        if any_long:
+            open_, nearest = merged(reached(range_, long), F.coalesce("fresh", F.lit(False)))
+            tables.append(open_)
+        if nearest is None:
+            settled.append(open_)
             break
-        best = best.union(frontier)
+        high = (nearest // width + 1) * width
     else:
         raise RuntimeError(f"paths still improve after {max_rounds} rounds")
-    ends = targets.select(F.col("sensor_id").alias("node"))
-    best = best.join(ends, "node", "left_semi").groupBy("source", "node").agg(F.min("distance").alias("distance"))
-    return best.select(F.col("source").alias("from"), F.col("node").alias("to"), "distance")
+    best = functools.reduce(DataFrame.union, [t.select("source", "node", "distance") for t in settled])
+    ends = targets.select(F.col("sensor_id").alias("node")).distinct()
+    return best.join(ends, "node", "left_semi").select(F.col("source").alias("from"), F.col("node").alias("to"), "distance")
 
 
 def gaussian_adjacency(distances: DataFrame, sensors: DataFrame, least: float = 0.1) -> DataFrame:

@@ -10,10 +10,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_names: dict[str, str] = {}
+_once: dict[tuple, DataFrame] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -36,6 +39,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+    """As ``written``, in as many buckets by ``keys`` as a shuffle has partitions: joins and sums by just these keys read it without a shuffle.
+
+    ``dealt`` says that ``df`` comes out of such a join or sum, so that its rows needn't be dealt by the keys first.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"table_{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/table-{name[6:]}"
+    rows = df if dealt else df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    _written.append((spark, path))
+    _names[path] = name
+    return spark.table(name)
+
+
+def written_once(spark: SparkSession, make: Callable[[], DataFrame], *key: object) -> DataFrame:
+    """The table that ``make`` gives, written when an application first asks for it under ``key``; ``drop_written`` forgets it."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _once:
+        _once[key] = written(make())
+    return _once[key]
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Delete tables that ``written`` has returned and that nothing reads any more, such as those of a loop's former rounds."""
     for table in tables:
@@ -47,6 +74,8 @@ def dropped(*tables: DataFrame | None) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if name := _names.pop(path, None):
+        spark.sql(f"drop table if exists {name}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -56,6 +85,7 @@ def drop_written(spark: SparkSession) -> None:
     for _, path in _written:
         _delete(spark, path)
     _written.clear()
+    _once.clear()
 
 
 @atexit.register

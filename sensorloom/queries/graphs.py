@@ -52,7 +52,8 @@ def g5_turn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'with {I.DISTANCES} select "from", "to", round(distance, 6) distance from distances')
 def g6_bounded_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.distances(spark, sf_dir).withColumn("distance", F.round("distance", 6))
+    found = R.bounded_distances(I.road_graph(spark, sf_dir), I.sensors(spark, sf_dir), I.LIMIT, I.links(spark, sf_dir))
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query(f"with {I.ADJACENCY} select src, dst, cast(src_idx as integer) src_idx, cast(dst_idx as integer) dst_idx, round(weight, 6) weight from adjacency")
@@ -115,7 +116,7 @@ union all select 'distances', count(*), sum(cast(right("from", 7) as bigint)), s
 union all select 'adjacency', (select count(*) from ids) + (select count(*) from adj), null, 0""")
 def g12_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, sums of ids and of distances of the tables made for the traffic sensors."""
-    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.turned_edges(spark, sf_dir), I.LIMIT)
+    parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.road_graph(spark, sf_dir), I.LIMIT)
     ids = {"sensors": "sensor_id", "metadata": "LINK_ID", "locations": "sensor_id", "distances": "from"}
     counts = []
     for name, table in parts.items():

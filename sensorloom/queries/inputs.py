@@ -9,7 +9,7 @@ from sensorloom.operators.fills import hour_mean
 from sensorloom.operators.grid import regular_grid, with_mask
 from sensorloom.operators.outliers import absolute_limit, chain, zeros_beside_gaps
 from sensorloom.operators.roadnet import apply_turns, bounded_distances, gaussian_adjacency, link_edges
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import written_once
 
 #: Longest path between two sensors.
 LIMIT = 9000.0
@@ -148,6 +148,13 @@ def turned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_turns(edges(spark, sf_dir), turns(spark, sf_dir), links(spark, sf_dir))
 
 
+# The graph that the queries below the distances stand on is made once for each path of tables, when the first of them asks for it.
+
+
+def road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, lambda: turned_edges(spark, sf_dir), "edges", sf_dir)
+
+
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links as sensors, in the order of their ids."""
     ids = links(spark, sf_dir).select(F.col("LINK_ID").alias("sensor_id"))
@@ -161,7 +168,7 @@ def traffic_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf_dir: str, limit: float = LIMIT) -> DataFrame:
-    return written(bounded_distances(written(turned_edges(spark, sf_dir)), sensors(spark, sf_dir), limit, links(spark, sf_dir)))
+    return written_once(spark, lambda: bounded_distances(road_graph(spark, sf_dir), sensors(spark, sf_dir), limit, links(spark, sf_dir)), "distances", sf_dir, limit)
 
 
 DISTANCES = "recursive " + TURNED + """,
@@ -186,7 +193,7 @@ adjacency as (
 
 
 def adjacency(spark: SparkSession, sf_dir: str, limit: float = LIMIT) -> DataFrame:
-    return written(gaussian_adjacency(distances(spark, sf_dir, limit), sensors(spark, sf_dir)))
+    return written_once(spark, lambda: gaussian_adjacency(distances(spark, sf_dir, limit), sensors(spark, sf_dir)), "adjacency", sf_dir, limit)
 
 
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:

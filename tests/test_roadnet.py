@@ -132,8 +132,64 @@ def test_distances_of_the_queries_against_dijkstra(spark):
 def test_spectral_norm_that_has_not_settled_raises(spark):
     from sensorloom.operators.graphops import spectral_norm
 
-    m = spark.createDataFrame([(0, 0, 3.0), (1, 1, 2.0)], "src_idx int, dst_idx int, weight double")
-    s = spark.createDataFrame([("a", 0), ("b", 1)], "sensor_id string, idx int")
+    m = spark.createDataFrame([(k, k, 2.0 + k) for k in range(8)], "src_idx int, dst_idx int, weight double")
+    s = spark.createDataFrame([(str(k), k) for k in range(8)], "sensor_id string, idx int")
     with pytest.raises(RuntimeError):
-        spectral_norm(m, s, rounds=2)
-    assert abs(spectral_norm(m, s) - 3) < 1e-6
+        spectral_norm(m, s, steps=2)
+    assert abs(spectral_norm(m, s) - 9) < 1e-6
+
+
+def test_ranges_and_longer_steps_give_the_same_distances(spark):
+    """Any width of the ranges, also below single edges, and any doubling; several improvements of a pair within a range."""
+    import heapq
+    import random
+
+    rng = random.Random(7)
+    edges = [(a, b, rng.choice([1.0, 2.0, 3.5, 9.0, 25.0])) for a in range(25) for b in rng.sample(range(25), 3)] + [(0, 1, 0.0), (0, 1, 4.0)]
+    wanted = {}
+    for start in (0, 3, 7, 11):
+        heap = [(0.0, start)]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if (start, node) not in wanted:
+                wanted[start, node] = d
+                for a, b, length in edges:
+                    if a == node and d + length <= 20:
+                        heapq.heappush(heap, (d + length, b))
+    wanted = {(str(a), str(b)): d for (a, b), d in wanted.items() if b in (0, 3, 7, 11)}
+    table = spark.createDataFrame([(str(a), str(b), d) for a, b, d in edges], "src string, dst string, length double")
+    targets = spark.createDataFrame([("0",), ("3",), ("7",), ("11",), ("7",)], "sensor_id string")
+    for width, doublings in ((None, 2), (2.0, 0), (4.0, 1), (100.0, 0)):
+        got = {(r["from"], r["to"]): r["distance"] for r in R.bounded_distances(table, targets, 20.0, width=width, doublings=doublings).collect()}
+        assert got == wanted
+    with pytest.raises(RuntimeError):
+        R.bounded_distances(table, targets, 20.0, doublings=0, max_rounds=2)
+
+
+def test_settled_and_open_pairs_are_not_shuffled(spark, monkeypatch):
+    plans = []
+    real = R.written_by
+
+    def seen(df, *keys, dealt=False):
+        if dealt:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *keys, dealt=dealt)
+
+    monkeypatch.setattr(R, "written_by", seen)
+    edges = spark.createDataFrame([(str(k), str(k + 1), 1.0) for k in range(12)], "src string, dst string, length double")
+    R.bounded_distances(edges, spark.createDataFrame([("0",)], "sensor_id string"), 12.0, width=4.0, doublings=0)
+    assert len(plans) > 8 and all(plan.count("Exchange hashpartitioning(source") == 1 and "Bucketed: true" in plan for plan in plans)
+
+
+def test_largest_singular_values_of_many_graphs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    ring = np.roll(np.eye(40), 1, 1) + np.roll(np.eye(40), -1, 1)
+    repeated, single = np.kron(np.eye(3), rng.random((4, 4))), np.zeros((6, 6))
+    single[2, 5] = -3.0
+    for a in (rng.normal(size=(30, 30)), np.eye(40) - ring / 2, repeated, np.eye(7), single, np.zeros((3, 3)), np.triu(rng.random((12, 12)))):
+        sensors = spark.createDataFrame([(k, str(k)) for k in range(len(a))], "idx int, sensor_id string")
+        i, j = np.nonzero(a)
+        coo = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j, strict=True)], "src_idx int, dst_idx int, weight double")
+        assert abs(M.spectral_norm(coo, sensors) - np.linalg.norm(a, 2)) <= 1e-8 * max(1, np.linalg.norm(a, 2))
