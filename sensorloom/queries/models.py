@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import model_fills as K
@@ -10,7 +10,7 @@ from sensorloom.operators import neighbours as N
 from sensorloom.operators.factorize import bgcp_fill, trmf_fill
 from sensorloom.operators.roadnet import gaussian_adjacency, top_neighbours
 from sensorloom.operators.subset import make_subset
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import written, written_once
 from sensorloom.queries import inputs as I
 from sensorloom.queries.catalog import query
 
@@ -55,28 +55,116 @@ ring_weights as (select f, t, t_idx, exp(-(distance / s) * (distance / s)) w fro
 nearest as (select f target, t sensor_id, row_number() over (partition by f order by round(w, 12) desc, t_idx) as rank from ring_weights)"""
 
 
-@query(f"""with {_AVERAGE}, {_DENSE}, gaps as (select sensor_id target from grid group by 1 having count(*) > count(value)),
-cells as (
+def _traffic_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The road graph's adjacency of the traffic sensors, by paths of up to 9000."""
+
+    def make() -> DataFrame:
+        s = I.traffic_sensors(spark, sf_dir)
+        between = I.distances(spark, sf_dir)
+        for end in ("from", "to"):
+            between = between.join(s.select(F.col("sensor_id").alias(end)), end, "left_semi")
+        return gaussian_adjacency(between, s)
+
+    return written_once(spark, make, "traffic adjacency", sf_dir)
+
+
+#: The graph of ``_traffic_adjacency``, likewise.
+_ROADS = """tids as (select sensor_id, row_number() over (order by sensor_id) - 1 idx from (select distinct sensor_id from traffic)),
+own as (select "from" f, "to" t, idx t_idx, distance from distances join tids on sensor_id = "to" where "from" in (select sensor_id from tids)),
+own_spread as (select stddev_pop(distance) s from own),
+nearest as (
+  select f target, t sensor_id, row_number() over (partition by f order by distance, t_idx) as rank from own, own_spread
+  where f <> t and exp(-(distance / s) * (distance / s)) >= 0.1)"""
+
+_SLICES = """gaps as (select sensor_id target from grid group by 1 having count(*) > count(value)),
+cells as materialized (
   select target, 0 as rank, ts, value from gaps join grid on sensor_id = target union all
   select nearest.target, rank, ts, value from nearest join gaps using (target) join grid using (sensor_id) where rank <= 10 union all
-  select target, 99, ts, average.value from gaps cross join average)
-select target, ts, row_number() over (partition by target, ts order by rank) - 1 as position, round(value, 6) as value from cells""")
-def p3_neighbour_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of each sensor and hour, a row for each; null where missing."""
+  select target, 99, ts, average.value from gaps cross join average)"""
+_POSITIONS = "select target, ts, row_number() over (partition by target, ts order by rank) - 1 as position, round(value, 6) as value from cells"
+_ON_ROADS = f"with {I.DISTANCES}, {_AVERAGE}, {_ROADS}, {_SLICES}"
+
+
+def _positions(spark: SparkSession, sf_dir: str, adjacency: DataFrame) -> DataFrame:
     rows = I.grid(spark, sf_dir)
-    s = N.neighbour_slices(rows, _dense_adjacency(spark, sf_dir), N.network_average(rows))
+    s = N.neighbour_slices(rows, adjacency, N.network_average(rows))
     features = s.select("target", "ts", F.posexplode("features").alias("position", "value"))
     return features.withColumn("value", F.when(~F.isnan("value"), F.round("value", 6)))
 
 
-@query(None)
+@query(f"{_ON_ROADS} {_POSITIONS}")
+def p3_neighbour_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of each sensor and hour, a row for each; null where missing."""
+    return _positions(spark, sf_dir, _traffic_adjacency(spark, sf_dir))
+
+
+@query(f"with {_AVERAGE}, {_DENSE}, {_SLICES} {_POSITIONS}")
+def p3_ring_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a graph in which each sensor has ten neighbours."""
+    return _positions(spark, sf_dir, _dense_adjacency(spark, sf_dir))
+
+
+#: Every missing hour against every observed one.
+_KNN = """pairs as (
+  select a.target, a.ts, b.ts donor, sum((a.value - b.value) * (a.value - b.value)) * (select count(distinct rank) from cells c where c.target = a.target) / count(*) far
+  from cells a join cells b using (target, rank)
+  where a.value is not null and b.value is not null
+    and exists (select 1 from cells m where m.target = a.target and m.rank = 0 and m.ts = a.ts and m.value is null)
+    and exists (select 1 from cells m where m.target = b.target and m.rank = 0 and m.ts = b.ts and m.value is not null)
+  group by a.target, a.ts, b.ts),
+nearest_hours as (select *, row_number() over (partition by target, ts order by far, donor) place from pairs),
+found as (select target, n.ts, avg(g.value) v from nearest_hours n join grid g on g.sensor_id = target and g.ts = donor where place <= 5 group by 1, 2)
+select sensor_id, g.ts, round(coalesce(value, v, avg(value) over (partition by sensor_id)), 6) as value from grid g left join found f on f.target = sensor_id and f.ts = g.ts"""
+
+
+@query(f"{_ON_ROADS}, {_KNN}")
 def p4_knn_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.knn_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir))
+    return K.knn_fill(I.grid(spark, sf_dir), _traffic_adjacency(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"with {_AVERAGE}, {_DENSE}, {_SLICES}, {_KNN}")
+def p4_ring_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ten neighbours for each sensor."""
+    return K.knn_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+def _model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fill that takes long, written once for the query that returns it and the one that tests it."""
+    rows = I.grid(spark, sf_dir)
+    make = {
+        "mice": lambda: K.mice_fill(rows, _traffic_adjacency(spark, sf_dir)),
+        "temporal mice": lambda: K.temporal_mice_fill(rows),
+        "trmf": lambda: trmf_fill(rows),
+        "bgcp": lambda: bgcp_fill(rows),
+    }
+    return written_once(spark, make[name], name, sf_dir)
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """By sensor: its cells, those that the fill has changed though observed, left NULL, or put outside what the sensor has shown."""
+    shown = I.grid(spark, sf_dir).select("sensor_id", "ts", F.col("value").alias("was"), *[f("value").over(Window.partitionBy("sensor_id")).alias(n) for n, f in (("least", F.min), ("most", F.max))])
+    both = _model(spark, sf_dir, name).join(shown, ["sensor_id", "ts"], "full")
+    outside = (F.col("value") < F.col("least") - 1e-9) | (F.col("value") > F.col("most") + 1e-9)
+    return both.groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.count("was").alias("n_observed"),
+        F.count_if(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("value"))).alias("n_changed"),
+        F.count_if(F.col("value").isNull()).alias("n_null"),
+        F.count_if(outside).alias("n_outside"),
+    )
+
+
+_KEPT = f"with {I.GRID} select sensor_id, count(*) n_cells, count(value) n_observed, 0::bigint n_changed, 0::bigint n_null, 0::bigint n_outside from grid group by 1"
 
 
 @query(None)
 def p5_mice_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.mice_fill(I.grid(spark, sf_dir), _dense_adjacency(spark, sf_dir))
+    return _model(spark, sf_dir, "mice")
+
+
+@query(_KEPT)
+def p5_mice_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "mice")
 
 
 @query(f"""with {_AVERAGE}, s as (
@@ -95,17 +183,36 @@ def p6_temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def p6_temporal_mice_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.temporal_mice_fill(I.grid(spark, sf_dir))
+    return _model(spark, sf_dir, "temporal mice")
+
+
+@query(_KEPT)
+def p6_temporal_mice_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "temporal mice")
 
 
 @query(None)
 def p7_trmf_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trmf_fill(I.grid(spark, sf_dir))
+    return _model(spark, sf_dir, "trmf")
+
+
+#: A low-rank model may leave the range of what was seen.
+_KEPT_IN_ANY_RANGE = _KEPT.replace(", 0::bigint n_outside", "")
+
+
+@query(_KEPT_IN_ANY_RANGE)
+def p7_trmf_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "trmf").drop("n_outside")
 
 
 @query(None)
 def p8_bgcp_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bgcp_fill(I.grid(spark, sf_dir))
+    return _model(spark, sf_dir, "bgcp")
+
+
+@query(_KEPT_IN_ANY_RANGE)
+def p8_bgcp_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "bgcp").drop("n_outside")
 
 
 @query(f"""with {I.GRID}, s as (select *, avg(value) over (partition by sensor_id) mean, stddev_pop(value) over (partition by sensor_id) sd from grid)

@@ -34,6 +34,29 @@ def test_nearest_rows_equal_brute_force():
         assert np.allclose(K.nearest_rows(x, 3, chunk=7), plain_nearest(x, 3))
 
 
+def test_pruned_search_equals_brute_force():
+    """Whole numbers with many ties, with and without a column to order by, in chunks and blocks smaller than the search."""
+    rng = np.random.default_rng(4)
+    for k in range(30):
+        x = np.round(rng.random((60, 4)) * rng.choice([2, 10, 1000]))
+        x[rng.random(x.shape) < 0.3] = np.nan
+        if k % 3:
+            x[:, 3] = np.round(rng.random(60) * 10) if k % 3 == 1 else 5.0
+        assert np.allclose(K.nearest_rows(x, 3, chunk=7, block=5), plain_nearest(x, 3), equal_nan=True)
+
+
+def test_search_ends_before_all_rows_are_met(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.arange(2000.0), 2)[:, None] + rng.random((4000, 3)) * 0.01
+    wanted = x[:, 0].copy()
+    x[1::2, 0] = np.nan
+    met = []
+    real = np.partition
+    monkeypatch.setattr(K.np, "partition", lambda far, *a, **b: met.append(far.size) or real(far, *a, **b))
+    assert np.abs(K.nearest_rows(x, 1, block=64) - wanted).max() < 0.05
+    assert sum(met) < 0.2 * 2000 * 2000
+
+
 def low_rank(spark, hidden=0.3, seed=0):
     """Six sensors over six days, a smooth pattern of rank two, some cells hidden."""
     rng = np.random.default_rng(seed)
@@ -119,7 +142,8 @@ def test_trees_grow_fully():
 @pytest.mark.parametrize("name, fill", [("p4_knn_fill", "knn_fill"), ("p5_mice_fill", "mice_fill"), ("p6_temporal_mice_fill", "temporal_mice_fill"), ("p7_trmf_fill", "trmf_fill"), ("p8_bgcp_fill", "bgcp_fill")])
 def test_registered_fills_run_at_the_operators_defaults(spark, monkeypatch, name, fill):
     calls = []
-    monkeypatch.setattr(Q if hasattr(Q, fill) else K, fill, lambda *a, **b: calls.append((len(a), b)))
+    monkeypatch.setattr(Q, "written_once", lambda spark, make, *key: make())
+    monkeypatch.setattr(Q if hasattr(Q, fill) else K, fill, lambda *a, **b: calls.append((len(a), b)) or a[0])
     getattr(Q, name)(spark, "/root/testdata/sf0.001")
     assert calls == [(2 if fill in ("knn_fill", "mice_fill") else 1, {})]
 
