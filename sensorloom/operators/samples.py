@@ -44,22 +44,26 @@ def valid_starts(masked: DataFrame, offsets: list[int], span: int) -> DataFrame:
 
 
 def _windows(masked: DataFrame, starts: DataFrame | None, n_in: int, outputs: list[int], span: int) -> DataFrame:
-    """``start, sensor_id, x, y, y_missing`` of a regular grid: windows over each sensor's series, kept where all of ``span`` steps exist.
+    """``start, sensor_id, x, y, y_missing`` of a regular grid, kept where all of ``span`` steps exist; ``outputs`` are steps one after the other.
 
-    The table is shuffled once, by sensor; ``starts`` has a row for each hour at most.
+    A sensor's series becomes arrays of some days each, which overlap by ``span - 1`` steps; windows are slices of them. The table is shuffled once, by sensor,
+    or not at all if it comes so; ``starts`` has a row for each hour at most.
     """
-    rows = indexed(masked).withColumnRenamed("t_idx", "start")
-    ahead = Window.partitionBy("sensor_id").orderBy("start").rangeBetween(0, span - 1)
-    last = masked.agg(F.max("ts").alias("hi"), F.min("ts").alias("lo"))
-    final = last.select(F.datediff("hi", "lo") * 24 + F.hour("hi") - F.hour("lo")).scalar()
-    cells = rows.select("sensor_id", "start", F.collect_list(F.struct((F.col("start")).alias("at"), "value", "is_missing")).over(ahead).alias("cells"))
-    cells = cells.where(F.col("start") + span - 1 <= final)
+    size = max(168, 4 * span)
+    rows = indexed(masked).withColumn("t_idx", F.col("t_idx").cast("long"))
+    ends = masked.agg(F.max("ts").alias("hi"), F.min("ts").alias("lo"))
+    last = ends.select((F.datediff("hi", "lo") * 24 + F.hour("hi") - F.hour("lo") - span + 1).cast("long")).scalar()
+    of = lambda t: F.floor(t / size)
+    pieces = F.sequence(F.greatest(of(F.col("t_idx") - span + 1), F.lit(0).cast("long")), of(F.col("t_idx")))
+    cells = rows.select("sensor_id", F.explode(pieces).alias("piece"), F.struct(F.col("t_idx").alias("at"), "value", "is_missing").alias("cell"))
+    series = cells.groupBy("sensor_id", "piece").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    series = series.select("sensor_id", (F.col("piece") * size).alias("first"), "cells.at", "cells.value", "cells.is_missing")
+    found = series.select("*", F.posexplode("at").alias("p", "start")).where((F.col("start") < F.col("first") + size) & (F.col("start") <= last))
+    found = found.where(F.get("at", F.col("p") + span - 1) == F.col("start") + span - 1)  # all steps are there
     if starts is not None:
-        cells = cells.join(F.broadcast(starts), "start", "left_semi")
-    k = lambda c: c["at"] - F.col("start")
-    later = F.filter("cells", lambda c: k(c).isin(outputs))
-    x = F.transform(F.filter("cells", lambda c: k(c) < n_in), lambda c: c["value"])
-    return cells.select("start", "sensor_id", x.alias("x"), F.transform(later, lambda c: c["value"]).alias("y"), F.transform(later, lambda c: c["is_missing"]).alias("y_missing"))
+        found = found.join(F.broadcast(starts), "start", "left_semi")
+    later = lambda c: F.slice(c, F.col("p") + 1 + outputs[0], len(outputs))
+    return found.select("start", "sensor_id", F.slice("value", F.col("p") + 1, n_in).alias("x"), later("value").alias("y"), later("is_missing").alias("y_missing"))
 
 
 def network_windows(masked: DataFrame, in_steps: int = 24, out_steps: int = 1) -> DataFrame:

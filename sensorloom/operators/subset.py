@@ -11,7 +11,7 @@ from sensorloom.operators.fills import hour_mean
 from sensorloom.operators.grid import filter_missing_rate, keep_sensors, regular_grid, time_range, with_mask
 from sensorloom.operators.outliers import Step, absolute_limit, chain, zeros_beside_gaps
 from sensorloom.operators.roadnet import bounded_distances, gaussian_adjacency, largest_components, link_locations, link_metadata
-from sensorloom.plans.scratch import written
+from sensorloom.plans.scratch import written, written_by
 
 #: The limit of an hourly count, and the last hour of the training part.
 HOURLY_LIMIT, TRAIN_END = 3450, "2025-11-30 23:59:59"
@@ -39,7 +39,8 @@ def make_subset(
     if cluster_count and adjacency is not None and sensors is not None:
         rows = keep_sensors(rows, largest_components(adjacency, sensors, rows.select("sensor_id").distinct(), cluster_count))
     rows = filter_missing_rate(time_range(regular_grid(rows), start, end), missing_rate)
-    rows = written(chain(rows, [absolute_limit(HOURLY_LIMIT), zeros_beside_gaps(), *outliers]))
+    # Bucketed by sensor, so that no fill of the whole or of the training part shuffles again.
+    rows = written_by(chain(rows, [absolute_limit(HOURLY_LIMIT), zeros_beside_gaps(), *outliers]), "sensor_id", dealt=True)
     fills = [hour_mean()] if fills is None else list(fills)
     mask = with_mask(rows).select("sensor_id", "ts", "is_missing")
     full, train = chain(rows, fills), chain(time_range(rows, end=cut), fills)

@@ -32,6 +32,17 @@ def w1_sensor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("sensor_id", "ts", F.col("x")[0].alias("x_first"), F.col("x")[5].alias("x_last"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("x_sum"), "y", "y_missing")
 
 
+@query(f"""with {I.FILLED}, holed as (select sensor_id, ts, is_missing, case when hour(ts) = 3 and day(ts) % 3 = 0 then null else value end as value from filled), w as (
+  select sensor_id, ts, count(value) over s n, count(*) over s r, list(value) over (partition by sensor_id order by ts rows between current row and 23 following) xs,
+         lead(value, 24) over o y, lead(is_missing, 24) over o y_missing
+  from holed window s as (partition by sensor_id order by ts rows between current row and 24 following), o as (partition by sensor_id order by ts))
+select sensor_id, ts, xs[1] x_first, xs[24] x_last, list_sum(xs) x_sum, y, y_missing from w where n = 25 and r = 25""")
+def w1_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day in, an hour out, of a filled grid: some of the targets were missing."""
+    w = S.sensor_windows(_holed(spark, sf_dir), 24)
+    return w.select("sensor_id", "ts", F.col("x")[0].alias("x_first"), F.col("x")[23].alias("x_last"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("x_sum"), "y", "y_missing")
+
+
 # Windows of the whole network need hours at which every sensor has a value: the grid is filled but for some hours of the day.
 _HOLED = I.FILLED + ", holed as (select sensor_id, ts, t_idx, is_missing, case when hour(ts) = 3 and day(ts) % 3 = 0 then null else value end as value from filled), h as (select max(t_idx) hi from holed)"
 
@@ -71,6 +82,24 @@ def w4_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(S.all_windows(_holed(spark, sf_dir), 6, 3), "start")
 
 
+# The shape that all models take: a day in, an hour out.
+
+
+@query(_window_sql(list(range(24)), [24], 25, True))
+def w2_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(S.network_windows(_holed(spark, sf_dir)), "start")
+
+
+@query(_window_sql(list(range(24)), [24], 25, True))
+def w3_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(S.single_step_windows(_holed(spark, sf_dir)), "start")
+
+
+@query(_window_sql(list(range(24)), [24], 25, False))
+def w4_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sums(S.all_windows(_holed(spark, sf_dir)), "start")
+
+
 @query(f"with {I.GRID} select sensor_id, ts, round((hour(ts) * 60 + minute(ts)) / 1440.0::double, 6) tod, cast(isodow(ts) - 1 as integer) dow, cast(isodow(ts) = 6 as double) is_saturday from grid")
 def w5_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.grid(spark, sf_dir).select("sensor_id", "ts", F.round(S.time_of_day(), 6).alias("tod"), S.day_of_week().alias("dow"), S.day_of_week(one_hot=True)[5].alias("is_saturday"))

@@ -11,6 +11,7 @@ from sensorloom.operators import graphops as M
 from sensorloom.operators import roadnet as R
 from sensorloom.operators.subset import make_graph
 from sensorloom.plans.components import connected_components
+from sensorloom.plans.fingerprint import fingerprint, fingerprint_sql
 from sensorloom.queries import inputs as I
 from sensorloom.queries.catalog import query
 
@@ -28,11 +29,15 @@ def g1_region_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.region_filter(I.turns(spark, sf_dir), _CODES, "NODE_ID", "ST_LINK", "ED_LINK")
 
 
-@query(f"with {I.LINKS} select distinct F_NODE, 126.4 + x / 1e5 lon, 37.3 + y / 1e5 lat from links")
+_LON, _LAT = "cast(126.4 + x / 1e5 as decimal(12, 6))", "cast(37.3 + y / 1e5 as decimal(12, 6))"
+
+
+@query(f"with {I.LINKS} select distinct F_NODE, cast({_LON} as double) lon, cast({_LAT} as double) lat, 'POINT (' || {_LON} || ' ' || {_LAT} || ')' wkt from links")
 def g2_distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct start nodes with the point where their links begin."""
-    p = I.links(spark, sf_dir).select("F_NODE", (126.4 + F.col("geometry")[0]["x"] / 1e5).alias("lon"), (37.3 + F.col("geometry")[0]["y"] / 1e5).alias("lat"))
-    return R.distinct_points(p, "lon", "lat").drop("wkt")
+    at = F.col("geometry")[0]
+    p = I.links(spark, sf_dir).select("F_NODE", (126.4 + at["x"] / 1e5).cast("decimal(12,6)").alias("lon"), (37.3 + at["y"] / 1e5).cast("decimal(12,6)").alias("lat"))
+    return R.distinct_points(p, "lon", "lat").withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")})
 
 
 @query(f"with {I.LINKS} select LINK_ID, round(len, 6) length_m from links")
@@ -106,24 +111,29 @@ def g11_largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.largest_components(I.adjacency(spark, sf_dir), s, s.select("sensor_id"), 2)
 
 
-@query(f"""with {I.DISTANCES}, {I.TRAFFIC}, ids as (select distinct sensor_id from traffic where sensor_id in (select LINK_ID from links)),
-own as (select * from distances where "from" in (from ids) and "to" in (from ids)),
-adj as (select 1 from own, (select stddev_pop(distance) s from own) where "from" <> "to" and exp(-(distance / s) * (distance / s)) >= 0.1)
-select 'sensors' part, (select count(*) from ids) n_rows, (select sum(hash_of) from (select cast(right(sensor_id, 7) as bigint) hash_of from ids)) id_sum, cast(0 as double) total
-union all select 'metadata', count(*), sum(cast(right(sensor_id, 7) as bigint)), 0 from ids
-union all select 'locations', count(*), sum(cast(right(sensor_id, 7) as bigint)), 0 from ids
-union all select 'distances', count(*), sum(cast(right("from", 7) as bigint)), sum(distance) from own
-union all select 'adjacency', (select count(*) from ids) + (select count(*) from adj), null, 0""")
+#: The tables of ``g12_graph_tables``, and the kinds of their columns.
+_PARTS = {
+    "sensors": ("ids", {"idx": "int", "sensor_id": "string"}),
+    "metadata": ("links where LINK_ID in (select sensor_id from ids)", dict.fromkeys(["LINK_ID", "ROAD_NAME", "LANES", "ROAD_RANK", "ROAD_TYPE", "MAX_SPD", "REST_VEH"], "string")),
+    "locations": ("places", {"sensor_id": "string", "latitude": "double", "longitude": "double"}),
+    "distances": ("own", {'"from"': "string", '"to"': "string", "distance": "double"}),
+    "adjacency": ("adj", {"src": "string", "dst": "string", "src_idx": "int", "dst_idx": "int", "weight": "double"}),
+}
+
+
+@query(f"""with {I.DISTANCES}, {I.TRAFFIC}, ids as (
+  select cast(row_number() over (order by sensor_id) - 1 as integer) idx, sensor_id from (select distinct sensor_id from traffic where sensor_id in (select LINK_ID from links))),
+places as (select LINK_ID sensor_id, 37.3 + (3 * y + c) / 3e5 latitude, 126.4 + (3 * x + 2 * a) / 3e5 longitude from links where LINK_ID in (select sensor_id from ids)),
+own as (select * from distances where "from" in (select sensor_id from ids) and "to" in (select sensor_id from ids)),
+adj as (
+  select "from" src, "to" dst, p.idx src_idx, q.idx dst_idx, exp(-(distance / s) * (distance / s)) weight
+  from own, (select stddev_pop(distance) s from own), ids p, ids q where p.sensor_id = "from" and q.sensor_id = "to" and "from" <> "to" and exp(-(distance / s) * (distance / s)) >= 0.1
+  union all select sensor_id, sensor_id, idx, idx, 1.0 from ids)
+{" union all ".join(f"select '{part}' part, * from ({fingerprint_sql(table, kinds)})" for part, (table, kinds) in _PARTS.items())}""")
 def g12_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, sums of ids and of distances of the tables made for the traffic sensors."""
+    """Rows and fingerprints of the tables made for the traffic sensors."""
     parts = make_graph(I.traffic_sensors(spark, sf_dir), _in_degrees(I.links(spark, sf_dir)), I.road_graph(spark, sf_dir), I.LIMIT)
-    ids = {"sensors": "sensor_id", "metadata": "LINK_ID", "locations": "sensor_id", "distances": "from"}
-    counts = []
-    for name, table in parts.items():
-        number = F.sum(F.substring(ids[name], -7, 7).cast("long")) if name in ids else F.lit(None).cast("long")
-        total = F.sum("distance") if name == "distances" else F.lit(0.0)
-        counts.append(table.agg(F.count(F.lit(1)).alias("n_rows"), number.alias("id_sum"), total.alias("total")).select(F.lit(name).alias("part"), "n_rows", "id_sum", "total"))
-    return functools.reduce(DataFrame.union, counts)
+    return functools.reduce(DataFrame.union, [fingerprint(table).select(F.lit(name).alias("part"), "n_rows", "digest") for name, table in parts.items()])
 
 
 @query(f'with {I.DISTANCES} select "from" sensor_id from distances union select "to" from distances')

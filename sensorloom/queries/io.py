@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.grid import HOURS, with_mask
 from sensorloom.operators.roadnet import link_locations, link_metadata
+from sensorloom.plans.fingerprint import fingerprint, fingerprint_sql
 from sensorloom.plans.scratch import scratch_folder
 from sensorloom.queries import inputs as I
 from sensorloom.queries.catalog import query
@@ -65,6 +67,13 @@ def s3_wide_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.from_wide(spark.read.parquet(path))
 
 
+@query(f"with {I.GRID} select sensor_id, ts, value from grid")
+def s3_wide_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In blocks of at most seven sensors, and back."""
+    T.write_wide(I.grid(spark, sf_dir), path := _folder(spark), 7)
+    return T.read_wide(spark, path)
+
+
 @query(f"with {I.GRID} select sensor_id, ts, value is null is_missing from grid")
 def s4_mask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     T.write_mask(with_mask(I.grid(spark, sf_dir)), path := _folder(spark))
@@ -134,16 +143,31 @@ def s11_road_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("LINK_ID", "F_NODE", "T_NODE", "LANES", "wkt")
 
 
-@query(f"with {I.TURNED} select 'node' part, count(distinct T_NODE) n_rows from links where left(T_NODE, 3) = '161' union all select 'link', count(*) from links where left(LINK_ID, 3) = '161' or left(F_NODE, 3) = '161' or left(T_NODE, 3) = '161' union all select 'turn', count(*) from turns where left(NODE_ID, 3) = '161' or left(ST_LINK, 3) = '161' or left(ED_LINK, 3) = '161'")
+#: The tables of ``s12_network_tables``, and the kinds of their columns; vertices of lines count as text.
+_NETWORK = {
+    "node": ("(select distinct T_NODE NODE_ID from links where left(T_NODE, 3) = '161')", {"NODE_ID": "string"}),
+    "link": (
+        "(select *, ' ' || cast(x as bigint) || ' ' || cast(y as bigint) || ' ' || cast(x + a as bigint) || ' ' || cast(y as bigint) || ' ' || cast(x + a as bigint) || ' ' || cast(y + c as bigint) vertices from links "
+        "where left(LINK_ID, 3) = '161' or left(F_NODE, 3) = '161' or left(T_NODE, 3) = '161')",
+        dict.fromkeys(["LINK_ID", "F_NODE", "T_NODE", "LANES", "MAX_SPD", "ROAD_NAME", "ROAD_RANK", "ROAD_TYPE", "REST_VEH", "vertices"], "string"),
+    ),
+    "turn": ("(select * from turns where left(NODE_ID, 3) = '161' or left(ST_LINK, 3) = '161' or left(ED_LINK, 3) = '161')", dict.fromkeys(["NODE_ID", "ST_LINK", "ED_LINK", "TURN_TYPE", "row_no"], "string")),
+}
+
+
+@query(f"with {I.TURNED} {' union all '.join(f"select '{part}' part, * from ({fingerprint_sql(table, kinds)})" for part, (table, kinds) in _NETWORK.items())}")
 def s12_network_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the region's three tables."""
+    """Rows and fingerprints of the region's three tables, as read back."""
     from sensorloom.operators.roadnet import region_filter
 
     links = I.links(spark, sf_dir)
     nodes = region_filter(links.select(F.col("T_NODE").alias("NODE_ID")).distinct(), ["161"], "NODE_ID")
     T.write_network(nodes, region_filter(links, ["161"], "LINK_ID", "F_NODE", "T_NODE"), region_filter(I.turns(spark, sf_dir), ["161"], "NODE_ID", "ST_LINK", "ED_LINK"), path := _folder(spark))
-    parts = [t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("part"), "n_rows") for n, t in zip(("node", "link", "turn"), T.read_network(spark, path), strict=True)]
-    return parts[0].union(parts[1]).union(parts[2])
+    number = lambda v: F.concat(F.lit(" "), v.cast("long").cast("string"))
+    vertices = F.array_join(F.transform("geometry", lambda p: F.concat(number(p["x"]), number(p["y"]))), "")
+    nodes, links, turns = T.read_network(spark, path)
+    tables = {"node": nodes, "link": links.withColumn("vertices", vertices).drop("geometry"), "turn": turns}
+    return functools.reduce(DataFrame.union, [fingerprint(t).select(F.lit(n).alias("part"), "n_rows", "digest") for n, t in tables.items()])
 
 
 @query(f"with {I.LINKS} select LINK_ID, 'POINT (' || cast((3 * x + 2 * a) / 3 as decimal(20, 3)) || ' ' || cast((3 * y + c) / 3 as decimal(20, 3)) || ')' wkt from links")

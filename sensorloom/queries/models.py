@@ -224,6 +224,13 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.select("segment", "sensor_id", F.size("steps").cast("long").alias("n_steps"), F.round(z, 4).alias("z_sum"))
 
 
+@query(f"with {I.GRID} select sensor_id, ts, round(value, 6) imputed from grid where t_idx < (select (max(t_idx) + 1) // 24 * 24 from grid)")
+def p9_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and back to counts."""
+    rows = I.grid(spark, sf_dir)
+    return N.unscaled(N.standardized_segments(rows)[0], rows).withColumn("imputed", F.round("imputed", 6))
+
+
 _CUT = "2024-01-21 23:59:59"
 
 

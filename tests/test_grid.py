@@ -101,3 +101,19 @@ def test_grid_of_off_grid_repeated_and_short_series(spark):
                 want += [(s, hour(h), v) for v in own or [None]]
         assert sorted(map(tuple, G.regular_grid(t, step).collect()), key=repr) == sorted(want, key=repr)
     assert G.regular_grid(t.limit(0)).count() == 0
+
+
+def test_one_shuffle_by_sensor_from_counts_to_filled_parts(spark, monkeypatch):
+    """What is written after the outlier steps stays dealt by sensor: no part shuffles again."""
+    from sensorloom.operators import subset
+    from sensorloom.queries import inputs
+
+    plans = []
+    real = subset.written_by
+    monkeypatch.setattr(subset, "written_by", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **b))
+    parts = subset.make_subset(inputs.traffic(spark, "/root/testdata/sf0.001"), cut="2024-01-21 23:59:59", missing_rate=1.0)
+    shuffles = lambda plan: plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning(sensor_id")
+    assert len(plans) == 1 and shuffles(plans[0]) == 1
+    for name in ("full", "train", "test"):
+        plan = parts[name]._jdf.queryExecution().executedPlan().toString()
+        assert shuffles(plan) == 0 and "Exchange hashpartitioning" not in plan

@@ -1,5 +1,7 @@
+import datetime as dt
+
 import pytest
-from test_grid import frame, values
+from test_grid import T0, frame, values
 
 from sensorloom.operators import samples as S
 from sensorloom.operators import scores as E
@@ -49,3 +51,23 @@ def test_scores(spark):
 def test_calendar(spark):
     r = frame(spark, a=[1, 1]).select(S.time_of_day().alias("t"), S.day_of_week().alias("d"), S.day_of_week(one_hot=True).alias("o")).orderBy("t").collect()[1]
     assert (round(r["t"], 6), r["d"], r["o"]) == (0.041667, 0, [1.0] + [0.0] * 6)
+
+
+def test_windows_over_pieces_of_a_series_equal_single_slices(spark):
+    """Series longer than several pieces; a sensor without some rows gets only windows that are whole."""
+    import random
+
+    rng = random.Random(1)
+    hours = 600
+    series = {f"s{k}": [None if rng.random() < 0.02 else float(rng.randrange(100)) for _ in range(hours)] for k in range(2)}
+    rows = [(s, T0 + dt.timedelta(hours=t), v, v is None) for s, vs in series.items() for t, v in enumerate(vs) if not (s == "s1" and t in (170, 171))]
+    table = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, value double, is_missing boolean")
+    for n_in, n_out in ((24, 1), (3, 2), (100, 20)):
+        got = {(r["sensor_id"], r["start"]): (r["x"], r["y"], r["y_missing"]) for r in S.all_windows(table, n_in, n_out).collect()}
+        want = {}
+        for s, vs in series.items():
+            for t in range(hours - n_in - n_out + 1):
+                if s == "s0" or not {170, 171} & set(range(t, t + n_in + n_out)):
+                    y = vs[t + n_in : t + n_in + n_out]
+                    want[s, t] = (vs[t : t + n_in], y, [v is None for v in y])
+        assert got == want

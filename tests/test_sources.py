@@ -1,7 +1,8 @@
+import datetime as dt
 import os
 
 import pytest
-from test_grid import frame, values
+from test_grid import T0, frame, values
 
 from sensorloom.operators.grid import with_mask
 from sensorloom.operators.subset import make_subset
@@ -71,3 +72,31 @@ def test_training_part_never_sees_test_hours(spark):
     parts = make_subset(t, cut="2024-01-02 12:00:00", missing_rate=1.0)
     assert values(parts["train"])["a"][24] == 10.0 and values(parts["full"])["a"][24] == 50.0
     assert parts["train_missing"].where("is_missing").count() == 36
+
+
+def test_wide_blocks_of_many_sensors(spark, tmp_path):
+    """2,500 sensors with gaps and absent hours in blocks of 1,000; a column's name tells nothing of its sensor."""
+    rows = [(f"s{k:05d}", T0 + dt.timedelta(hours=t), None if (k + t) % 7 == 0 else float(k * 10 + t)) for k in range(2500) for t in range(3) if (k, t) != (4, 1)]
+    table = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, value double")
+    T.write_wide(table, str(tmp_path / "wide"))
+    back = T.read_wide(spark, str(tmp_path / "wide"))
+    got = {(r["sensor_id"], r["ts"]): r["value"] for r in back.collect()}
+    assert got == {(s, t): v for s, t, v in rows} | {("s00004", T0 + dt.timedelta(hours=1)): None}
+    assert len(spark.read.parquet(str(tmp_path / "wide" / "values")).columns) == 1002
+
+
+def test_fingerprints(spark):
+    import duckdb
+
+    from sensorloom.plans.fingerprint import fingerprint, fingerprint_sql
+
+    rows = [("a", 1, 0.5, True), ("b", None, None, None), (None, 3, -2.25, False), ("a", 1, 0.5, True)]
+    table = spark.createDataFrame(rows, "s string, n int, `from` double, b boolean")
+    one = fingerprint(table).first()
+    assert one == fingerprint(table.orderBy("n").select("b", "from", "n", "s")).first() and one["n_rows"] == 4
+    others = [rows[:3], [*rows[:3], ("a", 1, 0.500002, True)], [*rows[:3], ("", 1, 0.5, True)], []]
+    assert len({fingerprint(spark.createDataFrame(r, table.schema)).first()["digest"] for r in others} | {one["digest"]}) == 5
+    con = duckdb.connect()
+    con.execute('create table t (s varchar, n integer, "from" double, b boolean)')
+    con.executemany("insert into t values (?, ?, ?, ?)", rows)
+    assert con.execute(fingerprint_sql("t", {"s": "string", "n": "int", '"from"': "double", "b": "boolean"})).fetchall() == [tuple(one)]
