@@ -113,12 +113,12 @@ def test_differences_are_counted():
 
 
 def least_differences(template, block):
-    """Fewest missing and inserted words over every stretch of the block, cell by cell."""
-    row = [0] * (len(block) + 1)
-    for w in template:
-        new = [row[0] + 1]
+    """Fewest missing and inserted words over every stretch of the block, cell by cell; words that tell licenses apart count as very many."""
+    row, lost, put = [0] * (len(block) + 1), *([S.FAR if x else 1 for x in S.telling(words)] for words in (template, block))
+    for i, w in enumerate(template):
+        new = [row[0] + lost[i]]
         for j, b in enumerate(block):
-            new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] if b == w else 10**6))
+            new.append(min(row[j + 1] + lost[i], new[-1] + put[j], row[j] if b == w else 10**12))
         row = new
     return min(row)
 
@@ -127,15 +127,19 @@ def test_alignment_equals_brute_force():
     rng = seeded(31)
     scanner = S.Scanner(S.Settings())
     for _ in range(60):
-        k = rng.randrange(len(S.TEMPLATES))
+        k = rng.randrange(len(S.ALL))
         own = list(scanner.words[k])
         for _ in range(rng.randrange(0, 6)):
             at = rng.randrange(len(own))
             own[at : at + rng.randrange(0, 3)] = [rng.choice(["other", "word", own[at]]) for _ in range(rng.randrange(0, 3))]
             own = own or ["x"]
         block = prose(rng, rng.randrange(0, 30)).split() + own + prose(rng, rng.randrange(0, 30)).split()
-        missing, between, a, b = scanner.differences(block, k)
-        assert missing + between == least_differences(scanner.words[k], block)
+        least, found = least_differences(scanner.words[k], block), scanner.places(block, k, len(scanner.words[k]) - 1)
+        assert bool(found) == (least < len(scanner.words[k]))
+        if not found:
+            continue
+        missing, between, a, b = found[0]
+        assert missing + between == least
         assert b - a == len(scanner.words[k]) - missing + between and least_differences(scanner.words[k], block[a:b]) == missing + between
 
 
@@ -144,15 +148,15 @@ def test_edited_notices_are_found_as_brute_force_says():
     rng = seeded(32)
     scanner, most = S.Scanner(S.Settings()), S.Settings().most_different
     for _ in range(80):
-        k = rng.randrange(len(S.TEMPLATES))
-        own = S.TEMPLATES[k][1].split()
+        k = rng.randrange(len(S.ALL))
+        own = S.ALL[k][1].split()
         for _ in range(rng.randrange(0, max(2, len(own) // 6))):
             at = rng.randrange(len(own))
             if not scanner.blocks(own[at]) and len(own) > 3:
                 own[at : at + 1] = [] if rng.random() < 0.5 else [own[at], "elsewhere"]
         text = prose(rng, 60) + "\n" + " ".join(own) + "\n" + prose(rng, 60)
         words = S._WORD.findall(text.lower())
-        fits = {S.TEMPLATES[j][0] for j, template in enumerate(scanner.words) if least_differences(template, words) <= most * len(template)}
+        fits = {S.ALL[j][0] for j, template in enumerate(scanner.words) if least_differences(template, words) <= most * len(template)}
         found = {f["license"] for f in scanner.findings(text)[1]}
         assert bool(found) == bool(fits) and found <= fits
 
@@ -161,3 +165,39 @@ def test_notices_without_their_first_words():
     for wording, name in ((S.TEMPLATES[2][1].split(" ", 3)[3], "MIT"), (next(t for n, t in S.TEMPLATES if n == "ISC"), "ISC")):
         n, found = S.Scanner(S.Settings()).findings("before this " + wording + " and after")
         assert n == 1 and [f["license"] for f in found] == [name]
+
+
+def names(text):
+    return [f["license"] for f in S.Scanner(S.Settings()).findings(text)[1]]
+
+
+def test_words_that_tell_licenses_apart():
+    commons = "This work is licensed under a Creative Commons Attribution{} International License."
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert names("This library is licensed under the GNU Lesser General Public License, version 2.1.") == ["LGPL-2.1"]
+    assert names(commons.format("-NoDerivatives 4.0")) == ["CC-BY-ND-4.0"] and names(commons.format("-NonCommercial-ShareAlike 4.0")) == ["CC-BY-NC-SA-4.0"]
+    assert names(commons.format(" 4.0")) == ["CC-BY-4.0"] and names(commons.format(" 5.0")) == []
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 Unported License.") == ["CC-BY-3.0"] and names("Licensed under CC BY-SA 2.0.") == ["CC-BY-SA-2.0"]
+    assert names("This work is licensed under the GNU General Public License, version 4.") == [] and names("Licensed under the Apache License, Version 1.1.") == []
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0"]
+    free = next(t for n, t in S.TEMPLATES if n == "GPL-2.0")
+    assert names(free.replace("General", "Lesser General")) == [] and names(free.replace("version 2", "version 7")) == []
+    assert names("MIT License") == ["MIT"] and names("Released under the BSD 4-Clause License.") == ["BSD-4-Clause"]
+    for name in S.TAGGED:
+        assert names(f"// SPDX-License-Identifier: {name}\nint main()")[0] == name.removesuffix("-only").removesuffix("-or-later")
+
+
+def test_repeated_notices_take_no_longer_each():
+    import time
+
+    scanner, notice = S.Scanner(S.Settings()), "This work is licensed under the GNU General Public License, version 3. "
+    began = time.process_time()
+    for text, n in ((notice * 400, 400), ((notice + "Released under the MIT License. ") * 3000, 6000)):
+        found = scanner.findings(text)[1]
+        assert len(found) == n and [f["word"] for f in found] == sorted(f["word"] for f in found)
+    assert time.process_time() - began < 5
+
+
+def test_repeated_rows_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, "MIT License", 7, "x"), (1, "MIT License", 7, "x"), (None, None, None, None)], "doc_id long, text string, findings int, n_blocks string")
+    assert sorted(str((r["doc_id"], r["n_blocks"], len(r["findings"]))) for r in S.scan(docs).collect()) == ["(1, 1, 1)", "(1, 1, 1)", "(None, 0, 0)"]
