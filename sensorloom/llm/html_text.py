@@ -50,10 +50,26 @@ _BLANK = str.maketrans("\t\n\r\f", "    ")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """An element; ``before`` is the element before it in its parent, ``number`` its place there from 1, ``last`` its own last element."""
+
+    __slots__ = ("tag", "attributes", "children", "before", "number", "last")
 
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.before, self.number, self.last = tag, attributes, [], None, 1, None
+
+    def add(self, child: Node) -> None:
+        self.children.append(child)
+        if self.last:
+            child.before, child.number = self.last, self.last.number + 1
+        self.last = child
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Of a repeated attribute the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), html.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+    return found
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
@@ -88,9 +104,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         if tag[2]:
             if name == "p" and not opened.get("p"):
-                stack[-1].children.append(Node("p", {}))
+                stack[-1].add(Node("p", {}))
             elif name == "br":
-                stack[-1].children.append(Node("br", {}))
+                stack[-1].add(Node("br", {}))
             else:
                 pop_to(frozenset({name}), frozenset({"table"}) if name not in _BLOCK else frozenset())
             continue
@@ -104,9 +120,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             pop_to(*_ENDS[name])
         elif stack[-1].tag == "head" and name not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
             pop(len(stack) - 1)  # anything else begins the body
-        attributes = {m[1].lower(): html.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTRIBUTE.finditer(tag[4])} if tag[4].strip(" /\t\n\r\f") else {}
+        attributes = _attributes(tag[4]) if tag[4].strip(" /\t\n\r\f") else {}
         node = Node(name, attributes)
-        stack[-1].children.append(node)
+        stack[-1].add(node)
         if name in _RAW:
             close = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(page, at)
             inside = page[at : close.start() if close else len(page)]
@@ -154,7 +170,7 @@ class Flow:
             self.space = True
 
     def lines(self, text: str) -> None:
-        """Preformatted text: all blanks and line ends count."""
+        """Preformatted text: all blanks and line ends count, but for empty lines before any text."""
         first, *rest = text.split("\n")
         if first:
             self.raw(first)
@@ -163,6 +179,14 @@ class Flow:
             if line:
                 self.raw(line)
 
+    def collapsed_lines(self, text: str) -> None:
+        """Line ends count, blanks beside each other are one."""
+        first, *rest = text.split("\n")
+        self.put(first)
+        for line in rest:
+            self.line_end()
+            self.put(line.lstrip(" \t\r\f"))
+
     def raw(self, text: str) -> None:
         if self.started:
             self.parts.append("\n" * self.breaks or " " * self.space)
@@ -221,6 +245,15 @@ def table_text(rows: list[list[tuple[str, int, int]]]) -> str:
     return "\n".join(out)
 
 
+#: What values of ``white-space`` keep: blanks and line ends, line ends, or neither.
+WHITE_SPACE = {"pre": "pre", "pre-wrap": "pre", "break-spaces": "pre", "pre-line": "line", "normal": "", "nowrap": "", "initial": ""}
+
+
+def _number(value: str | None, other: int) -> int:
+    value = (value or "").strip()
+    return int(value) if value.removeprefix("-").isascii() and value.removeprefix("-").isdigit() and len(value) < 10 else other
+
+
 def _span(value: str | None, most: int, zero: int = 1) -> int:
     """A number of columns or rows, up to what HTML allows."""
     if not value or not value.isascii() or not value.isdigit() or len(value) > 9:
@@ -230,7 +263,7 @@ def _span(value: str | None, most: int, zero: int = 1) -> int:
 
 def render(root: Node, styles: Styles) -> str:
     """All visible text in order, by an explicit walk with a stack of flows."""
-    flows, tables, lists, pre, drawings = [Flow()], [], [], 0, []
+    flows, tables, lists, spaces, drawings = [Flow()], [], [], [""], []
     # Each step has the node, its ancestors as nested pairs, and whether its text is visible.
     work: list[tuple] = [("in", root, (Node("#page", {}), None), True)]
     while work:
@@ -239,15 +272,16 @@ def render(root: Node, styles: Styles) -> str:
         if step == "in" and isinstance(node, str):
             if not visible or parent.tag == "details" and "open" not in parent.attributes or drawings and not drawings[-1]:
                 continue
-            if pre:
-                flows[-1].lines(node)
+            if spaces[-1]:
+                (flows[-1].lines if spaces[-1] == "pre" else flows[-1].collapsed_lines)(node)
             elif not (parent.tag in ("table", "tr", "tbody", "ul", "ol") and not node.strip()):
                 flows[-1].put(node)
             continue
         tag = node.tag
         if step == "in":
+            own = {}
             if tag != "#root":
-                own = styles(tag, node.attributes, above) if styles.by_key or "style" in node.attributes else {}
+                own = styles(node, above) if styles.by_key or "style" in node.attributes else {}
                 if not shown(node, own.get("display"), parent):
                     continue
                 if "visibility" in own and own["visibility"] != "inherit":
@@ -262,11 +296,10 @@ def render(root: Node, styles: Styles) -> str:
                 continue
             if tag in _BLOCK:
                 flows[-1].block(1 if tag in ("ul", "ol", "menu") and lists else _BLOCK[tag])
-            if tag in ("pre", "textarea", "xmp"):
-                pre += 1
-            elif tag in ("ul", "ol", "menu"):
-                start = node.attributes.get("start", "1")
-                lists.append([tag == "ol", int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1])
+            space = "pre" if tag in ("pre", "textarea", "xmp") else spaces[-1]
+            spaces.append(WHITE_SPACE.get(own.get("white-space", ""), space))
+            if tag in ("ul", "ol", "menu"):
+                lists.append([tag == "ol", _number(node.attributes.get("start"), 1)])
             elif tag == "table":
                 tables.append([])
                 flows.append(Flow())
@@ -280,9 +313,8 @@ def render(root: Node, styles: Styles) -> str:
             inside = (node, above)
             work.extend(("in", child, inside, visible) for child in reversed(node.children))
             continue
-        if tag in ("pre", "textarea", "xmp"):
-            pre -= 1
-        elif tag in ("svg", "foreignobject") or tag == "text" and drawings:
+        spaces.pop()
+        if tag in ("svg", "foreignobject") or tag == "text" and drawings:
             drawings.pop()
             if tag == "text":
                 flows[-1].block(1)
@@ -291,6 +323,7 @@ def render(root: Node, styles: Styles) -> str:
         elif tag == "li":
             text, mark = flows.pop().text(), "- "
             if lists and lists[-1][0]:
+                lists[-1][1] = _number(node.attributes.get("value"), lists[-1][1])
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             if text:

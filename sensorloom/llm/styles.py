@@ -1,8 +1,8 @@
-"""Which elements a page's own style sheets show: ``display`` and ``visibility`` by the cascade.
+"""Which elements a page's own style sheets show, and how: ``display``, ``visibility`` and ``white-space`` by the cascade.
 
 Read are rules for screens: plain rules, and those within ``@media`` (with a wide window), ``@supports`` and ``@layer``; other at-rules
-are skipped. Selectors may combine tags, classes, ids and attributes, by descent and by child; rules with other parts, such as
-``:hover`` or ``a + b``, match nothing, as they depend on what a page does later or on siblings.
+are skipped. Selectors may combine tags, classes, ids, attributes, places among siblings and ``:not()``, by descent, by child and by siblings before; rules
+with other parts, such as ``:hover``, match nothing, as they depend on what a page does later.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from dataclasses import dataclass, field
 #: Width of the window that media queries are asked for, in pixels.
 WINDOW = 1280
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
-_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility|white-space)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
 _PART = re.compile(r"\*|(?P<tag>[a-zA-Z][\w-]*)|\.(?P<cls>-?[_a-zA-Z\u0080-￿][\w-]*)|#(?P<id>[\w-]+)|\[\s*(?P<key>[\w-]+)\s*(?:(?P<how>[~|^$*]?=)\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\]\s]+))\s*)?\]")
-_COMBINATOR = re.compile(r"\s*>\s*|\s+")
+_PSEUDO = re.compile(r":(?P<name>[a-z-]+)(?:\((?P<of>[^()]*)\))?", re.IGNORECASE)
+_NTH = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<step>[+-]?\d*)n\s*(?:(?P<sign>[+-])\s*(?P<more>\d+))?|(?P<one>[+-]?\d+))\s*", re.IGNORECASE)
+_COMBINATOR = re.compile(r"\s*[>+~]\s*(?![^\[(]*[\])])|\s+(?![^\[(]*[\])])")
 _WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)")
 
 
 def declarations(text: str) -> dict[str, tuple[str, bool]]:
-    """``display`` and ``visibility`` of a block or a style attribute: the value and whether it is important."""
+    """What is read of a block or a style attribute: the value and whether it is important."""
     found: dict[str, tuple[str, bool]] = {}
     for m in _DECLARATION.finditer(text):
         name, important = m[1].lower(), m[3] is not None
@@ -90,8 +92,11 @@ class Compound:
     classes: tuple[str, ...] = ()
     ids: tuple[str, ...] = ()
     attributes: tuple[tuple[str, str, str], ...] = ()
+    places: tuple[tuple[int, int, bool], ...] = ()  # step, start and whether counted from the end: the element's place is start + k step
+    others: tuple[Compound, ...] = ()  # of :not()
 
-    def matches(self, tag: str, attributes: dict[str, str]) -> bool:
+    def matches(self, node, above) -> bool:
+        tag, attributes = node.tag, node.attributes
         if self.tag and self.tag != tag:
             return False
         if self.ids and any(attributes.get("id") != x for x in self.ids):
@@ -100,7 +105,37 @@ class Compound:
             own = attributes.get("class", "").split()
             if any(x not in own for x in self.classes):
                 return False
-        return all(key in attributes and _fits(attributes[key], how, value) for key, how, value in self.attributes)
+        if not all(key in attributes and _fits(attributes[key], how, value) for key, how, value in self.attributes):
+            return False
+        for step, start, from_end in self.places:
+            far = (above[0].last.number + 1 - node.number if from_end else node.number) - start
+            if (far != 0) if not step else (far % step or far // step < 0):
+                return False
+        return not any(x.matches(node, above) for x in self.others)
+
+    def weight(self) -> tuple[int, int, int]:
+        own = len(self.ids), len(self.classes) + len(self.attributes) + len(self.places), int(bool(self.tag))
+        return tuple(map(sum, zip(own, *(x.weight() for x in self.others), strict=True)))
+
+
+def _place(text: str) -> tuple[int, int] | None:
+    """Step and start of ``2n + 1``, ``odd``, ``3`` and the like."""
+    m = _NTH.fullmatch(text)
+    if not m:
+        return None
+    if m["word"]:
+        return 2, int(m["word"].lower() == "odd")
+    if m["one"]:
+        return 0, int(m["one"])
+    step = int(m["step"]) if m["step"] not in ("", "+", "-") else int(f"{m['step']}1")
+    return step, int(f"{m['sign']}{m['more']}") if m["more"] else 0
+
+
+def _structural(name: str, of: str | None) -> list[tuple[int, int, bool]] | None:
+    if of is None:
+        return {"first-child": [(0, 1, False)], "last-child": [(0, 1, True)], "only-child": [(0, 1, False), (0, 1, True)]}.get(name)
+    place = _place(of) if name in ("nth-child", "nth-last-child") else None
+    return [(*place, name == "nth-last-child")] if place else None
 
 
 def _fits(own: str, how: str, value: str) -> bool:
@@ -109,11 +144,24 @@ def _fits(own: str, how: str, value: str) -> bool:
 
 def compound(text: str) -> Compound | None:
     """None for what isn't read."""
-    at, tag, classes, ids, attributes = 0, "", [], [], []
+    at, tag, classes, ids, attributes, places, others = 0, "", [], [], [], [], []
     while at < len(text):
         m = _PART.match(text, at)
         if not m:
-            return None
+            m = _PSEUDO.match(text, at)
+            if not m:
+                return None
+            at, name = m.end(), m["name"].lower()
+            if name == "not" and m["of"]:
+                given = [compound(x.strip()) for x in m["of"].split(",")]
+                if not all(given):
+                    return None
+                others += given
+            elif (found := _structural(name, m["of"])) is not None:
+                places += found
+            else:
+                return None
+            continue
         at = m.end()
         if m["tag"]:
             tag = m["tag"].lower()
@@ -123,7 +171,7 @@ def compound(text: str) -> Compound | None:
             ids.append(m["id"])
         elif m["key"]:
             attributes.append((m["key"].lower(), m["how"] or "", next((v for v in (m["a"], m["b"], m["c"]) if v is not None), "")))
-    return Compound(tag, tuple(classes), tuple(ids), tuple(attributes)) if text else None
+    return Compound(tag, tuple(classes), tuple(ids), tuple(attributes), tuple(places), tuple(others)) if text else None
 
 
 @dataclass
@@ -138,21 +186,22 @@ class Styles:
         for sheet in sheets:
             for selectors, block in rules(sheet):
                 values = declarations(block)
-                for selector in selectors.split(",") if values else ():
+                for selector in re.split(r",(?![^(]*\))", selectors) if values else ():
                     selector = selector.strip()
                     parts = [compound(p) for p in _COMBINATOR.split(selector)]
                     if parts and all(parts):
                         order += 1
-                        how = [">" in m[0] for m in _COMBINATOR.finditer(selector)]
-                        weight = (sum(len(p.ids) for p in parts), sum(len(p.classes) + len(p.attributes) for p in parts), sum(bool(p.tag) for p in parts), order)
+                        how = [m[0].strip() for m in _COMBINATOR.finditer(selector)]
+                        weight = (*map(sum, zip(*(p.weight() for p in parts), strict=True)), order)
                         last = parts[-1]
                         key = ("#", last.ids[0]) if last.ids else (".", last.classes[0]) if last.classes else ("", last.tag)
                         out.by_key.setdefault(key, []).append((weight, parts, how, values))
         return out
 
-    def __call__(self, tag: str, attributes: dict[str, str], ancestors) -> dict[str, str]:
-        """``display`` and ``visibility`` that rules and the style attribute give an element; ``ancestors``: nested pairs (node, its ancestors)."""
+    def __call__(self, node, ancestors) -> dict[str, str]:
+        """What rules and the style attribute give an element; ``ancestors``: nested pairs (node, its ancestors)."""
         best: dict[str, tuple] = {}
+        tag, attributes = node.tag, node.attributes
         if self.by_key:
             keys = [("", tag), ("", "")]
             if attributes:
@@ -160,7 +209,7 @@ class Styles:
                 keys += [(".", c) for c in set(attributes["class"].split())] if "class" in attributes else []
             for key in keys:
                 for weight, parts, how, values in self.by_key.get(key, ()):
-                    if parts[-1].matches(tag, attributes) and (len(parts) == 1 or _under(parts, how, ancestors)):
+                    if parts[-1].matches(node, ancestors) and (len(parts) == 1 or _under(parts, how, node, ancestors)):
                         for name, (value, important) in values.items():
                             if (rank := (important, False, weight)) > best.get(name, ((),))[0]:
                                 best[name] = rank, value
@@ -171,23 +220,23 @@ class Styles:
         return {name: value for name, (_, value) in best.items()}
 
 
-def _under(parts: list[Compound], how: list[bool], ancestors) -> bool:
-    """Whether the parts but the last match ancestors: each the nearest that fits, and again further up where a child is asked for."""
-    states = [(len(parts) - 2, ancestors)]
-    seen = set()
+def _under(parts: list[Compound], how: list[str], node, ancestors) -> bool:
+    """Whether the parts but the last match ancestors or siblings before, each as its combinator asks; no place is tried twice for a part."""
+    states, seen = [(len(parts) - 2, node, ancestors)], set()
     while states:
-        k, chain = states.pop()
+        k, node, above = states.pop()
         if k < 0:
             return True
-        child = how[k]
-        while chain:
-            node, above = chain
-            if parts[k].matches(node.tag, node.attributes) and (k, id(node)) not in seen:
+        beside = how[k] in ("+", "~")
+        while (node := node.before) if beside else above:
+            if not beside:
+                node, above = above
+            if (k, id(node)) in seen:
+                break  # from here on all has been tried
+            if how[k] in ("", "~"):
                 seen.add((k, id(node)))
-                states.append((k - 1, above))
-                if not any(how[:k]):
-                    break  # a higher one can't do better
-            if child:
+            if parts[k].matches(node, above):
+                states.append((k - 1, node, above))
+            if how[k] in (">", "+"):
                 break
-            chain = above
     return False

@@ -201,3 +201,112 @@ def test_repeated_notices_take_no_longer_each():
 def test_repeated_rows_and_other_columns(spark):
     docs = spark.createDataFrame([(1, "MIT License", 7, "x"), (1, "MIT License", 7, "x"), (None, None, None, None)], "doc_id long, text string, findings int, n_blocks string")
     assert sorted(str((r["doc_id"], r["n_blocks"], len(r["findings"]))) for r in S.scan(docs).collect()) == ["(1, 1, 1)", "(1, 1, 1)", "(None, 0, 0)"]
+
+
+def page(html):
+    return H.visible_text(html)
+
+
+def test_first_attribute_counts():
+    assert page('<p style="color:red" style="display:none">a</p>') == "a"
+    assert page("<style>.y{display:none}</style><p class=x class=y>a") == "a"
+
+
+def test_siblings_and_places():
+    css = lambda rule, body: page(f"<style>{rule} {{display:none}}</style>{body}")
+    assert css(".a + .b", "<p class=a>1<p class=b>2<p class=b>3") == "1\n\n3"
+    assert css(".a ~ .b", "<p class=b>0<p class=a>1<p>2<p class=b>3") == "0\n\n1\n\n2"
+    assert css("li:first-child", "<ul><li>1<li>2</ul>") == "- 2" and css("li:last-child", "<ul><li>1<li>2</ul>") == "- 1"
+    assert css("li:nth-child(2n+1)", "<ul><li>1<li>2<li>3<li>4</ul>") == "- 2\n- 4" and css("li:nth-last-child(-n+2)", "<ul><li>1<li>2<li>3</ul>") == "- 1"
+    assert css("p:not(.k):not(#j)", "<p class=k>1<p id=j>2<p>3") == "1\n\n2" and css("p:only-child", "<div><p>1</div><div><p>2<p>3</div>") == "2\n\n3"
+    assert css("div > h2 + p ~ .x", "<div><h2>a</h2><p>b</p><i>c</i> <b class=x>d</b></div>") == "a\n\nb\n\nc"
+    assert css("p:hover", "<p>1") == "1" and css("p::before", "<p>1") == "1" and css(".a:is(p)", "<p class=a>1") == "1"
+    assert css("[title='a > b'] p", "<div title='a > b'><p>1</div><p>2") == "2"
+    assert css("p:not(.a, .b)", "<p class=a>1<p class=b>2<p>3") == "1\n\n2"
+
+
+def test_numbers_and_white_space():
+    assert page("<ol><li>a<li value=9>b<li>c</ol>") == "1. a\n9. b\n10. c" and page("<ol start=-1><li>a<li>b<li value=x>c</ol>") == "-1. a\n0. b\n1. c"
+    assert page("<style>.c{white-space:pre}</style><div class=c>a  b\n c<b>d</b></div><div>a  b\n c</div>") == "a  b\n cd\na b c"
+    assert page('<div style="white-space:pre-line">a  b\n  c</div>') == "a b\nc" and page('<pre style="white-space:normal">a  b\nc</pre>') == "a b c"
+    assert page("x<pre>\r\n\na</pre>") == "x\n\n\na" and page("x<pre>\na\n\n b</pre>y") == "x\n\na\n\n b\n\ny"
+
+
+def naive_layout(node, kept=False):
+    """Tokens of a tree, by recursion: words, one blank, or line ends set before and after."""
+    out = []
+    for child in node:
+        if isinstance(child, str):
+            if kept:
+                for k, line in enumerate(child.split("\n")):
+                    out += [("line",)] * (k > 0) + [("word", line)] * bool(line)
+            else:
+                words = child.split()
+                out += [("blank",)] * child[:1].isspace()
+                for k, w in enumerate(words):
+                    out += [("blank",)] * (k > 0) + [("word", w)]
+                out += [("blank",)] * (child[-1:].isspace() and bool(words))
+            continue
+        tag, inside = child
+        if tag == "br":
+            out.append(("line",))
+        elif tag == "span":
+            out += naive_layout(inside, kept)
+        elif tag == "li":
+            text = naive_text(naive_layout(inside, kept))
+            if text:
+                first, *rest = text.split("\n")
+                out += [("apart", 1), ("word", "\n".join(["- " + first, *["  " + x if x else "" for x in rest]]))]
+            out.append(("apart", 1))
+        else:
+            n = {"div": 1, "ul": 2, "p": 2, "pre": 2}[tag]
+            out += [("apart", n), *naive_layout(inside, kept or tag == "pre"), ("apart", n)]
+    return out
+
+
+def naive_text(tokens):
+    text, apart, lines, blank = "", 0, 0, False
+    for token, *of in tokens:
+        if token == "word":
+            text += ("\n" * (apart + lines) or " " * blank if text else "") + of[0]
+            apart, lines, blank = 0, 0, False
+        elif token == "apart":
+            # A block's distance takes in line ends before it.
+            apart, lines, blank = max(apart + lines, of[0]), 0, False
+        elif token == "line":
+            lines, blank = lines + 1, False
+        else:
+            blank = True
+    return text
+
+
+def test_layout_equals_a_naive_renderer_on_random_trees():
+    rng = seeded(41)
+
+    def tree(depth, allowed):
+        out = []
+        for _ in range(rng.randrange(0, 5)):
+            tag = rng.choice(["text", "text", "br", *allowed])
+            if tag == "text":
+                out.append(rng.choice(["a", " b", "c ", " d e ", "f  g", "h\ni", " "]))
+            elif tag == "br":
+                out.append(("br", []))
+            elif depth:
+                inner = {"span": [a for a in allowed if a == "span"], "p": ["span"], "pre": ["span"], "ul": ["li"]}.get(tag, ["span", "div", "p", "ul", "pre"])
+                inside = tree(depth - 1, inner)
+                out.append((tag, [x for x in inside if isinstance(x, tuple) and x[0] == "li"] if tag == "ul" else inside))
+        return out
+
+    def html_of(node):
+        return "".join(x if isinstance(x, str) else "<br>" if x[0] == "br" else f"<{x[0]}>{html_of(x[1])}</{x[0]}>" for x in node)
+
+    def plain(node):  # lists within lists stand closer, which the naive renderer doesn't know
+        return all(isinstance(x, str) or x[0] not in ("ul", "pre") and plain(x[1]) for x in node)
+
+    compared = 0
+    for _ in range(3000):
+        node = tree(4, ["span", "div", "p", "ul", "pre"])
+        if all(isinstance(x, str) or x[0] != "ul" or all(plain(li[1]) for li in x[1]) for x in node) and not any("<ul><li>" in html_of(x[1]) for x in node if isinstance(x, tuple) and x[0] != "ul") and "<pre>" not in html_of(node).replace("<pre>a", ""):
+            compared += 1
+            assert H.visible_text(html_of(node)) == naive_text(naive_layout(node)), html_of(node)
+    assert compared > 500
