@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.grid import hours_between, indexed
+from sensorloom.operators.grid import hours_between
 from sensorloom.operators.outliers import Step
 
 
@@ -56,9 +56,10 @@ def shifted(periods: int = 168) -> Step:
     """The first original value found ``periods`` hours back, twice as far back, and so on."""
 
     def step(traffic: DataFrame) -> DataFrame:
-        phase = Window.partitionBy("sensor_id", F.col("_t") % periods).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-        rows = indexed(traffic).withColumnRenamed("t_idx", "_t")
-        return rows.withColumn("value", F.coalesce("value", F.last("value", ignorenulls=True).over(phase))).drop("_t")
+        # Hours since any fixed time have the same phases, so the table's first time needn't be found.
+        since = hours_between(F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+        phase = Window.partitionBy("sensor_id", F.pmod(since, F.lit(periods))).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+        return traffic.withColumn("value", F.coalesce("value", F.last("value", ignorenulls=True).over(phase)))
 
     return step
 

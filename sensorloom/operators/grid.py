@@ -118,7 +118,8 @@ def filter_missing_rate(traffic: DataFrame, threshold: float = 0.9) -> DataFrame
     """Sensors whose missing rate is below the threshold; at 1 or more all stay."""
     if threshold >= 1:
         return traffic
-    return traffic.join(missing_rates(traffic).where(F.col("missing_rate") < threshold), "sensor_id", "left_semi")
+    rate = F.avg(F.col("value").isNull().cast("double")).over(Window.partitionBy("sensor_id"))
+    return traffic.withColumn("_rate", rate).where(F.col("_rate") < threshold).drop("_rate")
 
 
 def split_at(traffic: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:

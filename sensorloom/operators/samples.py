@@ -129,9 +129,10 @@ def fit_scaler(train: DataFrame, method: str = "normal", length: int = 24) -> Da
         whole = F.count("value").over(_order().rowsBetween(0, length)) == length + 1
         rows = train.withColumn("_whole", whole).withColumn("_used", F.max("_whole").over(_order().rowsBetween(-length, 0))).where("_used")
     found = rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    if found.first()["lo"] is None:
+    lo, hi = found.first()
+    if lo is None:
         raise ValueError("no values to scale by")
-    return found
+    return train.sparkSession.range(1).select(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
 
 
 def scale(traffic: DataFrame, scaler: DataFrame, inverse: bool = False) -> DataFrame:

@@ -55,11 +55,11 @@ def written_by(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     return spark.table(name)
 
 
-def written_once(spark: SparkSession, make: Callable[[], DataFrame], *key: object) -> DataFrame:
-    """The table that ``make`` gives, written when an application first asks for it under ``key``; ``drop_written`` forgets it."""
+def written_once(spark: SparkSession, make: Callable[[], DataFrame], *key: object, by: tuple[str, ...] = ()) -> DataFrame:
+    """The table that ``make`` gives, written (in buckets, if ``by`` names columns) when an application first asks for it under ``key``; ``drop_written`` forgets it."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _once:
-        _once[key] = written(make())
+        _once[key] = written_by(make(), *by) if by else written(make())
     return _once[key]
 
 

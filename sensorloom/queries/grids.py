@@ -23,7 +23,7 @@ f as (select *, round_even(coalesce(value, avg(value) over (partition by sensor_
 select sensor_id, avg(cast(miss as int)) missing_rate, round(avg(fill), 6) mean_value, count(*) n_hours from f group by sensor_id""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw events to a cleaned, filled series: missing rate and mean of each sensor."""
-    return I.prepared(spark, sf_dir).groupBy("sensor_id").agg(F.avg(F.col("is_missing").cast("int")).alias("missing_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n_hours"))
+    return I.prepared(spark, sf_dir, I.fresh_grid(spark, sf_dir)).groupBy("sensor_id").agg(F.avg(F.col("is_missing").cast("int")).alias("missing_rate"), F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n_hours"))
 
 
 @query(_RAW + """,
@@ -57,7 +57,7 @@ def t3_cast_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {I.GRID} select sensor_id, ts, value from grid")
 def t4_regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.grid(spark, sf_dir)
+    return I.fresh_grid(spark, sf_dir)
 
 
 @query(f"with {I.TRAFFIC}, g as (select distinct ts from traffic), s as (select date_diff('hour', lag(ts) over (order by ts), ts) gap from g) select cast(min(gap) as integer) step_hours from s having count(distinct gap) = 1")

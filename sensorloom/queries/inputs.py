@@ -42,13 +42,18 @@ grid as (
   from ids i cross join hrs h cross join bounds left join traffic t on t.sensor_id = i.sensor_id and t.ts = h.ts)"""
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular_grid(traffic(spark, sf_dir))
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid after the default outlier steps, with its mask and filled by hour means."""
-    rows = with_mask(chain(grid(spark, sf_dir), [absolute_limit(3450), zeros_beside_gaps()]))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid, made once for each path of tables and kept by sensor, as most queries begin with it."""
+    return written_once(spark, lambda: fresh_grid(spark, sf_dir), "grid", sf_dir, by=("sensor_id",))
+
+
+def prepared(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The grid, or another one, after the default outlier steps, with its mask and filled by hour means."""
+    rows = with_mask(chain(grid(spark, sf_dir) if rows is None else rows, [absolute_limit(3450), zeros_beside_gaps()]))
     return hour_mean()(rows)
 
 
