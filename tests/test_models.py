@@ -151,3 +151,15 @@ def test_registered_fills_run_at_the_operators_defaults(spark, monkeypatch, name
 def test_graph_of_the_fills_has_ten_neighbours(spark):
     found = Q._dense_adjacency(spark, "/root/testdata/sf0.01").where("src <> dst").groupBy("src").count().collect()
     assert len(found) == 20 and min(r["count"] for r in found) >= 10
+
+
+def test_trees_of_two_rows_and_of_equal_rows():
+    """Nodes of two rows split by any feature that tells them apart; rows that no feature tells apart stay together."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2, (300, 4)).astype(float)
+    y = rng.random(300)
+    got = K.RandomTrees(20, None, rng).fit(x, y).predict(x)
+    means = {tuple(r): y[(x == r).all(1)].mean() for r in x}
+    assert np.allclose(got, [means[tuple(r)] for r in x])
+    pair = K.RandomTrees(400, None, rng).fit(np.array([[0.0, 5, 1], [1, 5, 2]]), np.array([0.0, 1.0]))
+    assert {int(f) for f in pair.levels[0][0]} == {0, 2} and np.allclose(pair.predict(np.array([[0.0, 5, 1], [1, 5, 2]])), [0, 1])
