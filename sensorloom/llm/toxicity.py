@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -63,6 +64,22 @@ _SPELT = re.compile(rb"(?<![A-Za-z])(?:[A-Za-z@$]+(?:[0-9@$!*_.\-]+[A-Za-z@$]+)+
 _BETWEEN = re.compile(rb"[^A-Za-z]+")
 
 
+_WORD = re.compile(rb"[^ ]+")
+#: Words before and after a term that are looked at, whatever their lengths.
+BESIDE = 4
+
+
+def words_before(folded: bytes, at: int) -> list[bytes]:
+    """The last words that end before a place."""
+    found: list[bytes] = []
+    while at > 0 and len(found) < BESIDE:
+        blank = folded.rfind(b" ", 0, at)
+        if blank + 1 < at:
+            found.append(folded[blank + 1 : at])
+        at = blank
+    return found
+
+
 def terms_of(word: bytes) -> list[str]:
     """The word, and its beginnings with a star."""
     letters = word.decode("utf-8", "replace")
@@ -215,9 +232,10 @@ class Matcher:
             end = len(data) if end < 0 else end
             if data[at:end].isupper():
                 uses.add("capitals")
-            if b"!" in data[end : end + 3] or b"!!" in data[end : end + 30]:
+            after = list(islice(_WORD.finditer(folded, end), BESIDE + 1))
+            if b"!" in data[end : end + 3] or data.find(b"!!", end, after[-1].start() if len(after) > BESIDE else len(data)) >= 0:
                 uses.add("exclaimed")
-            if not SECOND_PERSON.isdisjoint(folded[max(0, at - 24) : at].split()[-4:]) or not SECOND_PERSON.isdisjoint(folded[end : end + 24].split()[:4]):
+            if not SECOND_PERSON.isdisjoint(words_before(folded, at)) or not SECOND_PERSON.isdisjoint(m[0] for m in after[:BESIDE]):
                 uses.add("aimed")
         if max(times.values(), default=0) > 1:
             uses.add("repeated")

@@ -118,6 +118,13 @@ def test_uses_of_terms():
         ("so id10t it is", {"spelt"}),
         ("nothing of it! you @ all", set()),
         ("", set()),
+        # Four words beside a term count, whatever their lengths.
+        ("you необыкновеннейший превосходительнейший " + "w" * 500 + " blarg", {"aimed"}),
+        ("the blarg " + "w" * 500 + " 非常长的句子没有空格 незабываемо you", {"aimed"}),
+        ("you one two three four blarg five six seven eight you", set()),
+        ("the blarg " + "w" * 90 + " and so on!! here", {"exclaimed"}),
+        ("the blarg one two three four and five!!", set()),
+        ("you" + " " * 400 + "blarg", {"aimed"}),
     ):
         assert matcher(text).uses == uses, text
     assert matcher("what an Idiot").topics == {0} and matcher(None).topics == set()
