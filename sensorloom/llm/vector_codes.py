@@ -47,14 +47,15 @@ class Codebooks:
         return hashlib.sha256(",".join(map(str, self.entries.ravel().tolist())).encode()).hexdigest()
 
     def widths(self) -> np.ndarray:
-        """Of the boxes of each part: about half of what lies between near entries. The results don't depend on it."""
+        """Of the boxes of each part: half as much again as what lies between near entries, so that many parts share a box and few entries are left in it.
+        The results don't depend on it."""
         out = []
         for book in self.entries:
             apart = ((book[:, None] - book[None]) ** 2).sum(2).astype(float)
             apart[apart == 0] = np.inf
             near = np.sqrt(apart.min(1))
             near = near[np.isfinite(near)]
-            out.append(max(1, int(np.median(near) / np.sqrt(max(1, book.shape[1])) / 2)) if len(near) else 1)
+            out.append(max(1, int(1.5 * np.median(near) / np.sqrt(max(1, book.shape[1])))) if len(near) else 1)
         return np.array(out, np.int64)
 
 
