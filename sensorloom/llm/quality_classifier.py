@@ -13,8 +13,9 @@ truly be negative: a step that makes it so is shortened until it isn't (du Pless
 The class prior is the least ratio of unlabelled to positive mass over the upper sets of a first classifier
 that tells positives from unlabelled, with an allowance for the size of the sample.
 
-Null and empty texts have levels like any other. Repeated rows are scored each. Without any positive to learn
-from every score is 1, so nothing is rejected. An empty table gives an empty result.
+Null and empty texts have levels like any other, very long ones are measured whole. Repeated rows are scored each. Texts of equal levels have equal
+scores. Without any positive to learn from every score is 1, so nothing is rejected. An empty table gives an empty result. Other columns than ``doc_id`` and
+``text``, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -59,6 +59,42 @@ def test_quality_on_held_out_rows(spark, corpus):
     assert np.allclose(Q.fit(levels, only), w)
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.8])
+def test_risk_is_least_as_by_plain_descent(spark, prior):
+    """Against gradient descent over single documents: no weights have a smaller risk whose negative part isn't below zero."""
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 8, (30, len(Q.LEVELS)))
+    cells = (kinds << 3 * np.arange(len(Q.LEVELS))).sum(1)
+    n = rng.integers(1, 40, 30)
+    positive = np.where(kinds[:, 0] > 3, rng.binomial(n, 0.5), 0)
+    table = spark.createDataFrame([(int(c), float(a), float(b)) for c, a, b in zip(cells, n, positive, strict=True)], "cell long, n double, n_positive double")
+    w = Q.minimise(table, prior, rounds=40)
+    x = Q.indicators(np.repeat(cells, n))
+    of_positive = Q.indicators(np.repeat(cells, positive))
+
+    def risk(v):
+        return np.logaddexp(0, x @ v).mean() - prior * (of_positive @ v).mean() + 5e-4 * v @ v
+
+    def negative(v):
+        return np.logaddexp(0, x @ v).mean() - prior * np.logaddexp(0, of_positive @ v).mean()
+
+    best, pull = np.zeros(x.shape[1]), prior * of_positive.mean(0)
+    for _ in range(6000):
+        new = best - 0.5 * ((x / (1 + np.exp(-x @ best))[:, None]).mean(0) - pull + 1e-3 * best)
+        if negative(new) < 0:
+            break
+        best = new
+    assert negative(w) >= -1e-9 and risk(w) <= risk(best) + 1e-4
+
+
+def test_repeated_rows_are_scored_each(spark, corpus):
+    texts, quality, toxic = corpus
+    docs = documents(spark, texts[:60] + texts[:5]).withColumn("score", F.lit("clash")).withColumn("doc_id", F.when(F.col("doc_id") >= 60, F.col("doc_id") - 60).otherwise(F.col("doc_id")))
+    levels = Q.cell_levels(docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
+    rows = Q.scored(levels, Q.fit(levels, labels(spark, quality, toxic))).collect()
+    assert len(rows) == 66 and all(len({r["score"] for r in rows if r["doc_id"] == k}) == 1 and sum(r["doc_id"] == k for r in rows) == 2 for k in range(5))
+
+
 def test_class_prior_and_no_positives(spark, corpus):
     texts, quality, toxic = corpus
     levels = Q.cell_levels(documents(spark, texts))
