@@ -6,7 +6,7 @@ rejections per second, and on the whole table a text meets the rules in that ord
 order changes what the cascade costs, never which documents it keeps.
 
 Null or empty text has no words and fails the base rules; very long texts are counted whole. Repeated rows are each judged. Of rules that reject as much per
-second the one named first goes first. An empty table gives an empty result, by any order. Other columns than ``doc_id`` and ``text`` aren't read.
+second the first by name goes first. An empty table gives an empty result, by any order. Other columns than ``doc_id`` and ``text`` aren't read.
 """
 
 from __future__ import annotations
