@@ -8,10 +8,11 @@ Two neighbouring characters that stand side by side in no piece can never be mer
 short stretches of a batch, equal words once, are rows of one matrix and take a step at a time together. Longer stretches have a heap each.
 Every batch's ids and decoded texts are compared with the ``sentencepiece`` library's; ``agrees`` tells whether they are equal.
 
-Null and empty texts have no ids and decode to an empty text. Very long texts are encoded whole (only the library's side of the comparison takes
-texts over a million characters in parts, cut between words, to bound memory). Equal scores go to the left pair. Repeated rows are
+Null and empty texts have no ids and decode to an empty text. Very long texts are encoded whole. Only the library takes them in parts of about a
+million characters, to bound memory: both ways, and cut where it gives the same as for the whole text, so ``agrees`` doesn't
+depend on sizes either. Equal scores go to the left pair. Repeated rows are
 encoded each; an empty table gives an empty one. Other columns pass through unread, whatever their names: results are in one
-column with a free name. A vocabulary that isn't of this kind (other normalizers, no byte pieces) raises.
+column with a free name. A vocabulary that isn't of this kind (other normalizers, no byte pieces, pieces over two words) raises.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,10 +38,10 @@ BLANK = "▁"
 UNKNOWN = " ⁇ ".encode()
 #: Stretches of more characters have a heap each.
 ROW = 48
-#: Characters of one row that the library encodes at once for comparison.
+#: Characters after which a text is cut for the library; no result depends on it.
 PART = 1_000_000
 _RUNS = re.compile(f"{BLANK}+[^{BLANK}]*")
-_BETWEEN_WORDS = re.compile("(?<! ) (?! )")
+_BETWEEN_WORDS = re.compile(f"(?<=[^ {BLANK}]) (?=[^ {BLANK}])")
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,8 @@ class Pieces:
         byte_ids = {int(names[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         if len(byte_ids) != 256 or sp.normalize(" ﬁ  　é\n ") != f"{BLANK * 2}ﬁ{BLANK * 2}　é\n{BLANK}":
             raise ValueError("only vocabularies with byte pieces and without normalization, with a blank in front")
+        if any(BLANK in names[i].lstrip(BLANK) for i in normal):
+            raise ValueError("only vocabularies whose pieces have blanks at their start alone")
         self.byte_ids = np.array([byte_ids[b] for b in range(256)], np.int32)
         self.piece_bytes = np.array([bytes([int(names[i][1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else UNKNOWN if sp.is_unknown(i) else names[i].replace(BLANK, " ").encode() for i in range(size)], object)
         self.is_byte = np.zeros(size, bool)
@@ -261,16 +263,18 @@ class Pieces:
 
     def agree(self, texts: list[str | None], ids: np.ndarray, ends: np.ndarray, decoded: list[str]) -> list[bool]:
         """Whether the library gives the same ids for each text, and the same text for the ids."""
-        out = []
-        for k, text in enumerate(texts):
-            own = ids[ends[k] : ends[k + 1]]
-            theirs, at = [], 0
-            parts = self.library.encode(list(_parts(text or "")), num_threads=1)
-            for part in parts:
-                theirs.append(len(part) == len(own[at : at + len(part)]) and bool((np.array(part, np.int32) == own[at : at + len(part)]).all()))
-                at += len(part)
-            out.append(all(theirs) and at == len(own) and (len(parts) > 1 or self.library.decode(list(chain.from_iterable(parts)), num_threads=1) == decoded[k]))
-        return out
+        return [self._agrees(text or "", ids[a:b].tolist(), back) for text, a, b, back in zip(texts, ends, ends[1:], decoded, strict=False)]
+
+    def _agrees(self, text: str, own: list[int], decoded: str) -> bool:
+        """The same for one text: its parts' ids follow each other, their texts have the blank between them that they were cut at."""
+        at = end = 0
+        for part in _parts(text):
+            theirs = self.library.encode(part)
+            back = " " * (end > 0) + self.library.decode(theirs)
+            if own[at : at + len(theirs)] != theirs or not decoded.startswith(back, end):
+                return False
+            at, end = at + len(theirs), end + len(back)
+        return at == len(own) and end == len(decoded)
 
 
 def _bytes_apart(run: bytes) -> str:
@@ -291,7 +295,10 @@ def _bytes_apart(run: bytes) -> str:
 
 
 def _parts(text: str) -> Iterator[str]:
-    """The text, or parts of it that the library encodes as it does the whole: a part's first blank is the one left out."""
+    """The text, or parts of it that the library encodes as it does the whole: a part's first blank is the one left out.
+
+    That blank has a character other than a blank on either side, so no piece reaches over its left side.
+    """
     at = 0
     while len(text) - at > PART and (cut := _BETWEEN_WORDS.search(text, at + PART)):
         yield text[at : cut.start()]

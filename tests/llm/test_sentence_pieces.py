@@ -69,6 +69,47 @@ def test_disagreement_and_parts_are_told(monkeypatch):
     assert PIECES.agree(texts, ids, ends, ["some word", *decoded[1:]]) == [False, True, True]
 
 
+BROKEN = [lambda d: d, lambda d: "#" + d[1:], lambda d: d[:-1] + "#", lambda d: d + " ", lambda d: d[:-1], lambda d: ""]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("   ▁▁\nthe, ané中�😀\x00")), max_size=40), st.sampled_from(BROKEN), st.integers(1, 12))
+def test_sizes_of_parts_and_rows_change_nothing(text, broken, size):
+    ids, ends = PIECES.ids([text])
+    decoded = broken(LIBRARY.decode(LIBRARY.encode(text)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(S, "PART", size)
+        assert PIECES.agree([text], ids, ends, [decoded]) == [decoded == LIBRARY.decode(LIBRARY.encode(text))]
+        if len(ids):
+            assert PIECES.agree([text], ids[:-1], ends - [0, 1], [decoded]) == PIECES.agree([text], ids + 1, ends, [decoded]) == [False]
+        patch.setattr(S, "ROW", size)
+        assert PIECES.ids([text])[0].tolist() == LIBRARY.encode(text)
+
+
+def test_texts_of_more_than_a_part_are_compared_both_ways():
+    words = "word " * (S.PART // 5)
+    texts = [words + "and more", words[:-1] + "xx ", words[:-2] + " ▁ ▁x" * 9 + " end", "é" * (S.PART + 5)]
+    ids, ends = PIECES.ids(texts)
+    decoded = PIECES.all_texts(ids, ends)
+    for k, text in enumerate(texts):
+        own = LIBRARY.encode(text)
+        assert ids[ends[k] : ends[k + 1]].tolist() == own and decoded[k] == LIBRARY.decode(own)
+    assert PIECES.agree(texts, ids, ends, decoded) == [True] * 4
+    for broken in BROKEN[1:]:
+        assert PIECES.agree(texts, ids, ends, [broken(d) for d in decoded]) == [False] * 4
+
+
+def test_pieces_over_two_words_raise(tmp_path):
+    rng = seeded(6)
+    own = {"model_type": "bpe", "byte_fallback": True, "normalization_rule_name": "identity", "remove_extra_whitespaces": False, "minloglevel": 2}
+    for name, split in (("words", True), ("lines", False)):
+        lines = [rng.choice(("of the", "in a day")) + rng.choice(" ,.") for _ in range(300)]
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / name), vocab_size=285, hard_vocab_limit=False, split_by_whitespace=split, **own)
+    assert S.PieceModel(str(tmp_path / "words.model")).load().ids(["of the"])[1].tolist()[1] > 0
+    with pytest.raises(ValueError, match="at their start"):
+        S.PieceModel(str(tmp_path / "lines.model")).load()
+
+
 def test_other_vocabularies_raise(tmp_path):
     with pytest.raises((ValueError, OSError, RuntimeError)):
         S.PieceModel(str(tmp_path / "none.model")).load()
