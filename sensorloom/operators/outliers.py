@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
 
+#: Far above what sums of doubles lose by rounding, far below the least step between whole counts.
+_ROUNDING = 1e-12
+
 
 def _sensor() -> Window:
     return Window.partitionBy("sensor_id")
@@ -27,8 +30,12 @@ def _keep(traffic: DataFrame, condition: Column) -> DataFrame:
 
 
 def _far(mean: Column, spread: Column, limit: float) -> Column:
-    """Whether a value lies further from the mean than ``limit`` spreads; never without a positive spread."""
-    return F.coalesce((spread > 0) & (F.abs(F.col("value") - mean) > limit * spread), F.lit(False))
+    """Whether a value lies further from the mean than ``limit`` spreads; never without a positive spread.
+
+    A value exactly at the limit stays, whatever the order of the sums: less than ``_ROUNDING`` of what is compared doesn't count.
+    """
+    off, bound = F.abs(F.col("value") - mean), limit * spread
+    return F.coalesce((spread > 0) & (off - bound > _ROUNDING * (F.abs("value") + F.abs(mean) + bound)), F.lit(False))
 
 
 def absolute_limit(threshold: float = 8000) -> Step:

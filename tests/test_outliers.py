@@ -68,3 +68,17 @@ def test_median_deviation_against_plain_python(spark):
 def test_status(spark):
     got = {r["sensor_id"]: r["ok"] for r in O.step_status(frame(spark, a=[1, 2, 3], b=[None, None, 1])).collect()}
     assert got == {"a": True, "b": False}
+
+
+@pytest.mark.parametrize("counts", [[2, 2, 6, 6, 6, 6, 14], [3, 3, 5, 5, 5, 5, 9], [3, 3, 7, 7, 7, 7, 15], [4, 4, 6, 6, 6, 6, 10]])
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_value_exactly_at_the_limit_stays(spark, counts, turned):
+    """Twice the deviation from the mean, in whole numbers; sums of doubles put it on either side."""
+    days = counts[::-1] if turned else counts
+    hourly = [None] * (24 * len(days))
+    hourly[::24] = days
+    for step in (O.hourly_z(2.0), O.monthly_hourly_z(2.0)):
+        assert values(step(frame(spark, a=hourly)))["a"][::24] == [float(v) for v in days]
+    over = [v + (v == max(days)) for v in days]
+    hourly[::24] = over
+    assert values(O.hourly_z(2.0)(frame(spark, a=hourly)))["a"][::24] == [None if v > max(days) else float(v) for v in over]
