@@ -53,4 +53,4 @@ def make_graph(sensors: DataFrame, links: DataFrame, edges: DataFrame, limit: fl
     distances = written(bounded_distances(edges, ids, limit, links))
     locations = link_locations(links).join(ids.select("sensor_id"), "sensor_id", "left_semi")
     metadata = links if {"ROAD_NAME"} <= set(links.columns) else links.withColumns({c: F.lit(None).cast("string") for c in ("ROAD_NAME", "ROAD_RANK", "ROAD_TYPE", "REST_VEH")})
-    return {"sensors": ids, "metadata": link_metadata(metadata, ids)[0], "locations": locations, "distances": distances, "adjacency": gaussian_adjacency(distances, ids, least)}
+    return {"sensors": ids, "metadata": link_metadata(metadata, ids)[0], "locations": locations, "distances": distances, "adjacency": gaussian_adjacency(distances, ids, least, unique=True)}

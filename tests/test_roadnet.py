@@ -193,3 +193,49 @@ def test_largest_singular_values_of_many_graphs(spark):
         i, j = np.nonzero(a)
         coo = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j, strict=True)], "src_idx int, dst_idx int, weight double")
         assert abs(M.spectral_norm(coo, sensors) - np.linalg.norm(a, 2)) <= 1e-8 * max(1, np.linalg.norm(a, 2))
+
+
+def test_distances_in_tasks_equal_joined_ones(spark, monkeypatch):
+    """Graphs that go to the tasks and those that are joined, also in blocks of few sources, with null rows and targets that no edge has."""
+    import random
+
+    rng = random.Random(3)
+    edges = [(str(a), str(b), rng.choice([0.0, 0.5, 2.0, 3.5, 9.0])) for a in range(60) for b in rng.sample(range(60), 3)]
+    table = spark.createDataFrame([*edges, ("1", None, 1.0), (None, "1", 1.0), ("1", "2", None), ("1", "3", float("nan")), ("5", "6", 21.0)], "src string, dst string, length double")
+    targets = spark.createDataFrame([(str(k),) for k in (*range(0, 60, 2), 4, 99)], "sensor_id string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for limit in (20.0, 0.0):
+        monkeypatch.setattr(R, "FEW", 2_000_000)
+        here = [rows(R.bounded_distances(table, targets, limit))]
+        monkeypatch.setattr(R, "_PAIRS", 130)
+        monkeypatch.setattr(R, "_SOURCES", 7)
+        here.append(rows(R.bounded_distances(table, targets, limit)))
+        monkeypatch.setattr(R, "FEW", 100)
+        assert here[0] == here[1] == rows(R.bounded_distances(table, targets, limit)) and ("99", "99", 0.0) in here[0]
+    back = spark.createDataFrame([("0", "1", -1.0), ("1", "0", -1.0)], table.schema)
+    monkeypatch.setattr(R, "FEW", 2)
+    with pytest.raises(Exception, match="still improve after 50 rounds"):
+        R.bounded_distances(back, targets.limit(1), 5.0, max_rounds=50).collect()
+    assert R.bounded_distances(table.limit(0), targets.limit(0), 5.0).collect() == []
+
+
+def test_pairs_stay_in_their_tasks(spark, tmp_path):
+    """Neither distances nor what is made of them sorts, shuffles or writes all pairs."""
+    import os
+
+    from sensorloom.plans.scratch import scratch_folder
+
+    edges = spark.createDataFrame([(str(k), str(k + 1), 1.0) for k in range(30)], "src string, dst string, length double")
+    targets = spark.createDataFrame([(str(k), k) for k in range(31)], "sensor_id string, idx int")
+    folder = scratch_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    d = R.bounded_distances(edges, targets, 9.0)
+    assert set(os.listdir(folder)) == before
+    places = targets.select("sensor_id", F.col("idx").cast("double").alias("latitude"), F.lit(1.0).alias("longitude"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (d, *R.distance_lines(d, places.where("latitude < 20"))):
+        above = plan(df).split("MapInArrow")[0]
+        assert "Exchange hashpartitioning" not in above and "SortMergeJoin" not in above and df.count()
+    near = lambda unique: sorted(map(tuple, R.gaussian_adjacency(d, targets, 0.3, unique).collect()))
+    assert near(True) == near(False) and len(near(True)) > 31
+    assert plan(R.gaussian_adjacency(d, targets, unique=True)).count("HashAggregate(keys=[from") == 0 < plan(R.gaussian_adjacency(d, targets)).count("HashAggregate(keys=[from")
