@@ -100,3 +100,14 @@ def test_fingerprints(spark):
     con.execute('create table t (s varchar, n integer, "from" double, b boolean)')
     con.executemany("insert into t values (?, ?, ?, ?)", rows)
     assert con.execute(fingerprint_sql("t", {"s": "string", "n": "int", '"from"': "double", "b": "boolean"})).fetchall() == [tuple(one)]
+
+
+def test_wide_cells_are_dealt_by_time_and_unpivoted_as_one_array(spark):
+    """No task sends whole rows of a time that others have too; any name of a column comes back."""
+    long = frame(spark, **{"a.b": [1, None, 3], "c`d": [4, 5, None], "e": [None, None, 6]})
+    wide = T.to_wide(long)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    back = T.from_wide(wide)
+    assert "Expand" not in back._jdf.queryExecution().executedPlan().toString() and back.columns == ["ts", "sensor_id", "value"]
+    assert sorted(map(str, back.select(*long.columns).collect())) == sorted(map(str, long.collect()))
