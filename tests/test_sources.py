@@ -111,3 +111,12 @@ def test_wide_cells_are_dealt_by_time_and_unpivoted_as_one_array(spark):
     back = T.from_wide(wide)
     assert "Expand" not in back._jdf.queryExecution().executedPlan().toString() and back.columns == ["ts", "sensor_id", "value"]
     assert sorted(map(str, back.select(*long.columns).collect())) == sorted(map(str, long.collect()))
+
+
+def test_export_joins_before_it_makes_columns(spark, tmp_path, monkeypatch):
+    """What Spark infers for a join grows with the square of its columns, so the wide table is in none."""
+    monkeypatch.setattr(T, "to_wide", lambda *_: pytest.fail("joined a wide table"))
+    T.export_wide(frame(spark, b=[1, None, 3], a=[4, 5, None]), f"{tmp_path}/out", 2)
+    assert sorted(f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".csv")) == ["part-00000.csv", "part-00001.csv"]
+    lines = open(f"{tmp_path}/out/part-00000.csv").read().splitlines()
+    assert lines[0] == "ts,a,b" and [line.split(",", 1)[1] for line in lines[1:]] == ["4.0,1.0", "5.0,"]
